@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from urllib.parse import quote
 
 from pyspark.sql import Column
@@ -25,6 +26,11 @@ OLD_FOLDER = r"(?iU)^(\d{2})(?:%3a|:)(\d{2})\s*-\s*(\d+)\s+(\w+)"
 LABEL_LIMIT = 100
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once per row however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _found(c: Column, pattern: str, group: int = 1) -> Column:
     """Group of the first match, null where the pattern does not match."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
@@ -48,26 +54,27 @@ def take_date(c: Column) -> Column:
 
 def old_folder_date(c: Column) -> Column:
     """Date of a folder named ``MM:YY - DD Month``; the month name wins over MM."""
-    name = url_decode(c)
-    month = F.element_at(
-        F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair]),
-        F.lower(F.regexp_extract(name, OLD_FOLDER, 4)),
-    )
-    year = F.regexp_extract(name, OLD_FOLDER, 2)
-    day = F.regexp_extract(name, OLD_FOLDER, 3).try_cast("int")
-    return F.when(month.isNotNull(), F.format_string("20%s-%02d-%02d", year, month, day))
+    months = F.create_map(*[F.lit(x) for pair in MONTHS.items() for x in pair])
+
+    def read(name: Column) -> Column:
+        month = F.element_at(months, F.lower(F.regexp_extract(name, OLD_FOLDER, 4)))
+        day = F.regexp_extract(name, OLD_FOLDER, 3).try_cast("int")
+        return F.when(
+            month.isNotNull(), F.format_string("20%s-%02d-%02d", F.regexp_extract(name, OLD_FOLDER, 2), month, day)
+        )
+
+    return bind(url_decode(c), read)
 
 
 def title_case(c: Column) -> Column:
     """Upper case after every non-letter, lower case after a letter (so ``3am`` becomes ``3Am``)."""
-    chars = F.split(c, "")
-    turned = F.transform(
-        chars,
-        lambda ch, i: F.when(
-            (i > 0) & F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(ch)
-        ).otherwise(F.upper(ch)),
-    )
-    return F.array_join(turned, "")
+    def turn(chars: Column) -> Column:
+        return F.array_join(F.transform(
+            chars,
+            lambda ch, i: F.when((i > 0) & F.get(chars, i - 1).rlike(r"\p{L}"), F.lower(ch)).otherwise(F.upper(ch)),
+        ), "")
+
+    return bind(F.split(c, ""), turn)
 
 
 def humanize(c: Column) -> Column:

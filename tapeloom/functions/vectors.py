@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -36,13 +37,13 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), None).when(scale == 0, 1.0).otherwise(1.0 - F.try_divide(dot(a, b), scale))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def unpack_f32(blob: pd.Series) -> pd.Series:
     """Little-endian float32 bytes to an array."""
     return blob.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_f32(values: pd.Series) -> pd.Series:
     """Array to little-endian float32 bytes."""
     return values.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())

@@ -36,6 +36,9 @@ def _grid_join(left: DataFrame, right: DataFrame, fn, schema: str, block_rows: i
     two Arrow tables of about ``block_rows`` rows and returns only its best rows.
     """
     n_left, n_right = _blocks(left.count(), block_rows), _blocks(right.count(), block_rows)
+    # Own column identities, so that both sides may come from one table.
+    left = left.select(*[F.col(c).alias(c) for c in left.columns])
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
     lhs = (
         left.withColumn("_l", F.pmod(F.xxhash64("id"), F.lit(n_left)))
         .withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)).cast("array<bigint>")))

@@ -11,6 +11,7 @@ from tapeloom.operators.quantiles import exact_quantiles, values_at
 from tapeloom.sources.store import top_n
 
 NOISE = -1
+PAGE_LIMIT = 1000
 
 
 def review_stats(recordings: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -205,8 +206,9 @@ def review_queue(
 ) -> DataFrame:
     """A page of recordings waiting for review, in queue order.
 
-    Filters reach the scan; the page is cut before the review columns are joined, so those joins see
-    ``limit`` rows.
+    Filters reach the scan and the page is cut before the review columns are joined. A page of ordinary
+    size is fetched once, and its ids go to the scans of candidates and segments as pushed-down filters;
+    a very long page stays a lazy plan.
     """
     queue = recordings.filter("song_id is null and origin = 'vad_segment'")
     if status == "unreviewed":
@@ -228,9 +230,15 @@ def review_queue(
         queue = queue.withColumn("_sort", F.lit(None).cast("string"))
         order = [F.asc("id")]
     page = queue.orderBy(*order).offset(offset).limit(limit)
-    ids = page.select("id")
-    few_candidates = candidates.join(ids.select(F.col("id").alias("recording_id")), "recording_id", "left_semi")
-    few_segments = segments.join(ids.select(F.col("id").alias("recording_id")), "recording_id", "left_semi")
+    if limit <= PAGE_LIMIT:
+        rows = page.collect()
+        page = queue.sparkSession.createDataFrame(rows, page.schema)
+        wanted = F.col("recording_id").isin([r["id"] for r in rows])
+        few_candidates, few_segments = candidates.filter(wanted), segments.filter(wanted)
+    else:
+        ids = page.select(F.col("id").alias("recording_id"))
+        few_candidates = candidates.join(ids, "recording_id", "left_semi")
+        few_segments = segments.join(ids, "recording_id", "left_semi")
     rows = review_rows(page.drop("_sort"), sessions, songs, few_candidates, few_segments)
     return rows.join(page.select("id", "_sort"), "id").orderBy(*order).drop("_sort")
 

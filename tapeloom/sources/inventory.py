@@ -49,46 +49,41 @@ def classify_sections(files: DataFrame) -> DataFrame:
     One narrow pass: every rule is a branch over the path, so no shuffle and no union of scans.
     Columns follow ``ITEM_COLUMNS`` plus ``path``.
     """
-    depth = F.size(F.split("path", "/"))
-    name = file_name(F.col("path"))
-    stem = file_stem(name)
-    folder = _part(1)
-    section = F.lower(_part(0))
-
-    # S3 rehearsals: a dated file, or mixed tracks anywhere below a dated folder.
-    loose = (depth == 2)
-    rehearsal_date = F.when(loose, iso_date(stem)).when(name.rlike(MIX_FILE), iso_date(folder))
-    rehearsal_note = F.when(
-        ~loose, F.nullif(F.trim(F.regexp_extract(folder, FOLDER_NOTE, 1)), F.lit(""))
+    top, folder, stem = F.col("_top"), F.col("_folder"), F.col("_stem")
+    jams, rehearsals, old = top == "Jams", top == "Assajos", top == "Old"
+    songs = top.isin("Temas", "Covers")
+    loose, inner = F.col("_depth") == 2, F.col("_depth") == 3
+    parts = (
+        scan_paths(files).withColumn("_parts", F.split("path", "/"))
+        .select("path", F.size("_parts").alias("_depth"), F.get("_parts", 0).alias("_top"),
+                F.get("_parts", 1).alias("_folder"), F.element_at("_parts", -1).alias("_name"))
+        .filter(top.isin("Assajos", "Jams", "Temas", "Covers", "Old"))
+        .withColumn("_stem", file_stem(F.col("_name")))
     )
-    # S4 jams: files of a dated folder.
-    jam_date = F.when(depth == 3, iso_date(folder))
-    jam_slug = url_decode(stem)
-    # S6 oldest section: month folders with percent-encoded names.
-    old_date = F.when(depth == 3, old_folder_date(folder))
-
-    top = _part(0)
-    is_songs = top.isin("Temas", "Covers") & (depth == 3)
-    date = (
-        F.when(top == "Assajos", rehearsal_date)
-        .when(top == "Jams", jam_date)
-        .when(is_songs, take_date(name))
-        .when(top == "Old", old_date)
-    )
-    return scan_paths(files).select(
+    # S3 rehearsals: a dated file, or mixed tracks anywhere below a dated folder. S4 jams: files of a
+    # dated folder. S5 songs: takes in a song's folder. S6 oldest section: encoded month folders.
+    dated = parts.withColumn(
+        "date",
+        F.when(rehearsals & loose, iso_date(stem))
+        .when(rehearsals & F.col("_name").rlike(MIX_FILE), iso_date(folder))
+        .when(jams & inner, iso_date(folder))
+        .when(songs & inner, take_date(F.col("_name")))
+        .when(old & inner, old_folder_date(folder)),
+    ).filter(F.col("date").isNotNull() | (songs & inner))
+    named = dated.withColumn("song_slug", F.when(jams, url_decode(stem)).when(songs, folder))
+    note = F.nullif(F.trim(F.regexp_extract(folder, FOLDER_NOTE, 1)), F.lit(""))
+    return named.select(
         "path",
-        section.alias("section"),
+        F.lower(top).alias("section"),
         F.array("path").alias("source_paths"),
-        F.when(top == "Assajos", "raw").otherwise("pretrimmed").alias("origin"),
-        date.alias("date"),
-        F.coalesce((top == "Jams") & (jam_date == UNCERTAIN_DATE), F.lit(False)).alias("date_uncertain"),
-        F.when(top == "Jams", jam_slug).when(is_songs, folder).alias("song_slug"),
-        F.when(top == "Jams", "jam").when(top == "Temas", "original").when(top == "Covers", "cover")
-        .alias("song_type"),
-        F.when(top == "Jams", humanize(jam_slug)).when(is_songs, humanize(folder))
-        .when(top == "Old", url_decode(stem)).alias("title"),
-        F.when(top == "Assajos", rehearsal_note).alias("notes"),
-    ).filter(F.col("date").isNotNull() | (F.col("section").isin("temas", "covers") & F.col("song_slug").isNotNull()))
+        F.when(rehearsals, "raw").otherwise("pretrimmed").alias("origin"),
+        "date",
+        F.coalesce(jams & (F.col("date") == UNCERTAIN_DATE), F.lit(False)).alias("date_uncertain"),
+        "song_slug",
+        F.when(jams, "jam").when(top == "Temas", "original").when(top == "Covers", "cover").alias("song_type"),
+        F.when(jams | songs, humanize(F.col("song_slug"))).when(old, url_decode(stem)).alias("title"),
+        F.when(rehearsals & ~loose, note).alias("notes"),
+    )
 
 
 def split_file_groups(files: DataFrame) -> DataFrame:
