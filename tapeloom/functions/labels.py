@@ -48,3 +48,8 @@ def decibels(rms: Column) -> Column:
 def percent(part: Column, total: Column) -> Column:
     """Whole percent, 0 of nothing."""
     return F.when(total > 0, F.floor(part / total * 100 + 0.5).cast("long")).otherwise(F.lit(0).cast("long"))
+
+
+def settled(c: Column, digits: int) -> Column:
+    """Round half up after dropping float noise, so that the result does not depend on summation order."""
+    return F.round(F.round(c, 12), digits)

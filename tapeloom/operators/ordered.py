@@ -2,7 +2,10 @@
 
 A recording may hold a large share of all rows, so nothing here sorts a whole recording in one task.
 Rows are cut into chunks of the ordering column; windows run inside (key, chunk), and what has to
-cross a chunk edge travels through a table with one row per (key, chunk).
+cross a chunk edge travels through a table with one row per (key, chunk). Where positions have no gaps,
+the rows at the edges are copied over instead and no second pass is needed.
+
+Helpers that need such a table read their input twice; chains of them start from ``cut_lineage`` tables.
 """
 
 from __future__ import annotations
@@ -45,25 +48,45 @@ def ordinal(
 
 
 def running_total(
-    df: DataFrame, keys: list[str], order: str, tie: str, value: Column, width: float, out: str
+    df: DataFrame, keys: list[str], order: str, tie: str, value: Column, width: float, out: str,
+    totals_from: DataFrame | None = None,
 ) -> DataFrame:
-    """Sum of ``value`` over the key up to and including the row."""
+    """Sum of ``value`` over the key up to and including the row.
+
+    The sums of earlier chunks come from ``totals_from`` where a smaller table with the same non-zero
+    values exists, so that ``df`` is read once.
+    """
     rows = _chunked(df, order, width).withColumn("_v", value)
-    sums = rows.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_s"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
+    source = rows if totals_from is None else _chunked(totals_from, order, width).withColumn("_v", value)
+    sums = source.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_s"))
     inside = (
         Window.partitionBy(*keys, "_chunk").orderBy(order, tie)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    local = rows.withColumn("_local", F.sum("_v").over(inside))
+    if totals_from is not None:
+        # A chunk may have no row in the smaller table, so name the chunks that follow it.
+        chunks = df.groupBy(*keys).agg(F.max(F.floor(F.col(order) / F.lit(width))).cast("long").alias("_last"))
+        every = chunks.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), "_last"))).drop("_last")
+        sums = every.join(sums, [*keys, "_chunk"], "left")
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*keys, "_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
     return (
-        rows.withColumn("_local", F.sum("_v").over(inside))
-        .join(offsets, [*keys, "_chunk"])
+        local.join(offsets, [*keys, "_chunk"])
         .withColumn(out, F.col("_before") + F.col("_local"))
         .drop("_v", "_before", "_local", "_chunk")
     )
 
 
+def adjacent(
+    df: DataFrame, keys: list[str], idx: str, cols: list[str], out: str, ahead: bool = False, size: int = CHUNK_ROWS
+) -> DataFrame:
+    """Struct of ``cols`` of the row at the previous (or next) position; positions have no gaps."""
+    rows = with_halo(df, idx, 0 if ahead else 1, 1 if ahead else 0, size)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(idx) if ahead else F.asc(idx))
+    return rows.withColumn(out, F.lag(F.struct(*cols)).over(w)).filter("_core").drop("_chunk", "_core")
+
+
 def neighbour(
     df: DataFrame, keys: list[str], order: str, tie: str, cols: list[str], width: float,
     out: str, ahead: bool = False,

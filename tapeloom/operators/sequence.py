@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.ordered import (
-    CHUNK_ROWS, consecutive_ids, map_groups, matrix, neighbour, ordinal, running_total, unit_rows, with_halo,
+    CHUNK_ROWS, adjacent, consecutive_ids, map_groups, matrix, neighbour, ordinal, running_total, unit_rows, with_halo,
 )
 from tapeloom.operators.similarity import mean_vectors
+from tapeloom.functions.labels import settled
 from tapeloom.schemas import SEGMENT_STEP_SECONDS
+from tapeloom.session import cut_lineage
 
 # Defaults of the two segmentation methods.
 KERNEL_SIZE = 8
@@ -38,7 +40,8 @@ def novelty_curve(indexed: DataFrame, kernel_size: int = KERNEL_SIZE) -> DataFra
 
     The checkerboard has the sign +1 where both segments lie on the same side of the centre, else -1,
     so the weighted sum of cosines over the window is the squared length of (sum of unit vectors after
-    the centre) - (sum before it). That needs two running sums per segment and no pairs at all.
+    the centre) - (sum before it). That needs two running sums per segment and no pairs at all. The curve
+    is narrow and read several times afterwards, so it is written out.
     """
     h = kernel_size // 2
     rows = with_halo(indexed.select("recording_id", "segment_id", "idx", "n", "embedding"), "idx", h, h)
@@ -58,10 +61,10 @@ def novelty_curve(indexed: DataFrame, kernel_size: int = KERNEL_SIZE) -> DataFra
         })
         return out.filter(table.column("_core"))
 
-    return map_groups(
+    return cut_lineage(map_groups(
         rows, ["recording_id", "_chunk"], ["idx"], curve,
         "recording_id bigint, segment_id bigint, idx bigint, n bigint, novelty double",
-    )
+    ))
 
 
 def silence_short(curve: DataFrame, min_segments: int = MIN_SEGMENTS) -> DataFrame:
@@ -84,7 +87,7 @@ def local_peaks(curve: DataFrame, threshold: float = PEAK_THRESHOLD) -> DataFram
     stats = value.groupBy("recording_id").agg(
         (F.avg("_v") + threshold * F.stddev_pop("_v")).alias("_height")
     )
-    runs = neighbour(value, keys, "idx", "segment_id", ["_v"], width, "_prev")
+    runs = adjacent(value.select("recording_id", "idx", "segment_id", "_v"), keys, "idx", ["_v"], "_prev")
     runs = runs.filter(F.col("_prev").isNull() | (F.col("_prev._v") != F.col("_v")))
     runs = neighbour(runs, keys, "idx", "segment_id", ["idx", "_v"], width, "_next", ahead=True)
     top = (F.col("_prev._v") < F.col("_v")) & (F.col("_next._v") < F.col("_v"))
@@ -103,6 +106,7 @@ def space_peaks(peaks: DataFrame, distance: int) -> DataFrame:
     if distance <= 2:
         return peaks
     keys, width = ["recording_id"], float(CHUNK_ROWS)
+    peaks = cut_lineage(peaks)
     linked = neighbour(peaks, keys, "idx", "idx", ["idx"], width, "_prev")
     starts = F.when(F.col("_prev").isNull() | (F.col("idx") - F.col("_prev.idx") >= distance), 1).otherwise(0)
     chains = running_total(linked, keys, "idx", "idx", starts, width, "_chain").drop("_prev")
@@ -139,7 +143,7 @@ def assign_passages(indexed: DataFrame, boundaries: DataFrame) -> DataFrame:
     cuts = boundaries.filter("idx > 0").select("recording_id", "idx", F.lit(1).alias("_cut"))
     marked = indexed.join(cuts, ["recording_id", "idx"], "left")
     return running_total(
-        marked, ["recording_id"], "idx", "segment_id", F.coalesce("_cut", F.lit(0)), float(CHUNK_ROWS), "grp"
+        marked, ["recording_id"], "idx", "segment_id", F.coalesce("_cut", F.lit(0)), float(CHUNK_ROWS), "grp", cuts
     ).drop("_cut")
 
 
@@ -154,8 +158,8 @@ def summarise_groups(members: DataFrame, metadata: list[str] = METADATA) -> Data
             F.min_by("start_seconds", "idx").alias("start_seconds"),
             F.max_by("end_seconds", "idx").alias("end_seconds"),
             F.count(F.lit(1)).alias("segment_count"),
-            F.round(F.avg("mean_rms"), 6).alias("mean_rms"),
-            F.round(F.avg("mean_spectral_centroid"), 2).alias("mean_spectral_centroid"),
+            settled(F.avg("mean_rms"), 6).alias("mean_rms"),
+            settled(F.avg("mean_spectral_centroid"), 2).alias("mean_spectral_centroid"),
             *meta,
         )
         .withColumn("duration", F.round(F.col("end_seconds") - F.col("start_seconds"), 2))
@@ -168,6 +172,7 @@ def number_groups(groups: DataFrame, out: str = "passage_id") -> DataFrame:
 
     ``grp`` must count from 0 without gaps inside a recording.
     """
+    groups = cut_lineage(groups)
     counts = groups.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_count"))
     firsts = consecutive_ids(counts, "recording_id", "_count", "_first").select("recording_id", "_first")
     return groups.join(firsts, "recording_id").withColumn(out, F.col("_first") + F.col("grp")).drop("_first")
@@ -238,10 +243,10 @@ def step_distances(indexed: DataFrame) -> DataFrame:
         out = table.select(keep).append_column("distance", pa.array(dist, from_pandas=True))
         return out.filter(table.column("_core"))
 
-    return map_groups(
+    return cut_lineage(map_groups(
         rows, ["recording_id", "_chunk"], ["idx"], distances,
         "recording_id bigint, segment_id bigint, idx bigint, n bigint, distance double",
-    )
+    ))
 
 
 def _next_start(far: np.ndarray, least: int, most: int, size: int) -> np.ndarray:
@@ -340,9 +345,9 @@ def change_points(
 
     schema = "recording_id bigint, segment_id bigint, idx bigint, n bigint, distance double, _begin int"
     entered = rows.join(carried, ["recording_id", "_chunk"], "left").fillna({"carried": 0})
-    begun = map_groups(entered, ["recording_id", "_chunk"], ["idx"], cut, schema)
+    begun = cut_lineage(map_groups(entered, ["recording_id", "_chunk"], ["idx"], cut, schema))
     folded = running_total(begun, ["recording_id"], "idx", "segment_id", F.col("_begin"), float(chunk), "grp").drop("_begin")
-    return _merge_and_split(folded, least, most)
+    return _merge_and_split(cut_lineage(folded), least, most)
 
 
 def _merge_and_split(folded: DataFrame, least: int, most: int) -> DataFrame:
@@ -371,6 +376,7 @@ def _merge_and_split(folded: DataFrame, least: int, most: int) -> DataFrame:
         halved.withColumn("_half", F.coalesce((F.col("idx") >= F.col("_split")).cast("int"), F.lit(0)))
         .withColumn("grp", F.struct("grp", "_half"))
     )
+    begins = cut_lineage(begins.select("recording_id", "segment_id", "idx", "n", "distance", "grp"))
     # Renumber from 0 without gaps: at most one extra group per split before it.
     heads = begins.groupBy("recording_id", "grp").agg(F.min("idx").alias("_from"))
     numbered = running_total(
@@ -393,12 +399,12 @@ def passage_points(
     group = ([map_col] if map_col else []) + ["recording_id", "grp"]
     placed = members.join(coords.select(*keys, "x", "y"), keys, "left")
     points = placed.groupBy(*group).agg(
-        F.round(F.avg("x"), 5).alias("x"), F.round(F.avg("y"), 5).alias("y"),
+        settled(F.avg("x"), 5).alias("x"), settled(F.avg("y"), 5).alias("y"),
         F.min_by("start_seconds", "idx").alias("start_seconds"),
         F.max_by("end_seconds", "idx").alias("end_seconds"),
         F.count(F.lit(1)).alias("segment_count"),
-        F.round(F.avg("mean_rms"), 6).alias("mean_rms"),
-        F.round(F.avg("mean_spectral_centroid"), 2).alias("mean_spectral_centroid"),
+        settled(F.avg("mean_rms"), 6).alias("mean_rms"),
+        settled(F.avg("mean_spectral_centroid"), 2).alias("mean_spectral_centroid"),
         F.min_by(F.struct(*metadata), "idx").alias("_meta"),
     ).withColumn("duration", F.round(F.col("end_seconds") - F.col("start_seconds"), 2)).select(
         "*", *[F.col(f"_meta.{c}").alias(c) for c in metadata]
@@ -408,6 +414,7 @@ def passage_points(
 
 def number_points(points: DataFrame) -> DataFrame:
     """Q8: consecutive ids over the passages that were kept."""
+    points = cut_lineage(points)
     kept = running_total(
         points, ["recording_id"], "grp", "grp", F.lit(1), float(CHUNK_ROWS), "_at"
     ).withColumn("_at", (F.col("_at") - 1).cast("long"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.ordered import neighbour
 from tapeloom.operators.quantiles import exact_quantile
+from tapeloom.session import cut_lineage
 from tapeloom.schemas import SEGMENT_SECONDS, SEGMENT_STEP_SECONDS
 
 # Level normalisation and silence search defaults.
@@ -210,6 +211,7 @@ def silence_intervals(
     quiet = levels.select(key, F.col(t).alias("_t"), (F.col(level) < threshold).alias("_quiet"))
     rows = neighbour(quiet, [key], "_t", "_t", ["_quiet"], span, "_prev")
     edges = rows.filter(F.col("_prev").isNull() | (F.col("_quiet") != F.col("_prev._quiet")))
+    edges = cut_lineage(edges.select(key, "_t", "_quiet"))
     edges = neighbour(edges, [key], "_t", "_t", ["_t"], span, "_next", ahead=True)
     ends = levels.groupBy(key).agg((F.max(t) + width).alias("_end"))
     return (
@@ -228,7 +230,7 @@ def active_segments(
     silence start is silent. Boundaries are rows, so the count per key is not limited.
     """
     span = CHUNK * MIN_SILENCE_SECONDS
-    known = silences.join(totals.select(key), key, "left_semi")
+    known = cut_lineage(silences.join(totals.select(key), key, "left_semi"))
     marks = (
         totals.select(key, F.lit(0.0).alias("_t"))
         .unionByName(totals.select(key, F.col("total").alias("_t")))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tapeloom.functions.vectors import dot, l2_normalize, norm
 from tapeloom.operators.ordered import map_groups, matrix, ordinal, unit_rows
 from tapeloom.operators.quantiles import exact_quantiles
+from tapeloom.session import cut_lineage
 from tapeloom.sources.store import top_n
 
 BLOCK_ROWS = 8192
@@ -182,6 +183,7 @@ def refresh_candidates(candidates: DataFrame, matches: DataFrame) -> DataFrame:
 
 def match_statistics(matches: DataFrame) -> DataFrame:
     """V7: spread of the best confidence per recording, and counts."""
+    matches = cut_lineage(matches.select("rank", "confidence"))
     tops = matches.filter("rank = 1")
     probs = {"min": 0.0, "p25": 0.25, "median": 0.5, "p75": 0.75, "max": 1.0}
     spread = exact_quantiles(tops, [], "confidence", probs)

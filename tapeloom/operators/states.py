@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.vectors import cosine_distance, l2_normalize
-from tapeloom.operators.ordered import CHUNK_ROWS, neighbour, running_total, with_halo
+from tapeloom.operators.ordered import CHUNK_ROWS, adjacent, running_total, with_halo
 
 INTERSTITIAL_SECONDS = 120.0
 
@@ -45,7 +45,7 @@ def smooth_states(indexed: DataFrame, reach: int = 2) -> DataFrame:
 def state_runs(smoothed: DataFrame, state: str = "smooth") -> DataFrame:
     """``grp``, the number of the run of equal states, per recording from 0."""
     keys, width = ["recording_id"], float(CHUNK_ROWS)
-    rows = neighbour(smoothed, keys, "idx", "segment_id", [state], width, "_prev")
+    rows = adjacent(smoothed, keys, "idx", [state], "_prev")
     turn = F.when(F.col(f"_prev.{state}") != F.col(state), 1).otherwise(0)
     return running_total(rows, keys, "idx", "segment_id", turn, width, "grp").drop("_prev")
 
@@ -57,9 +57,7 @@ def meta_state(is_rehearsal: Column, chunk_seconds: Column) -> Column:
 
 def successors(passages: DataFrame) -> DataFrame:
     """The passage that followed in the recording, and the third of the recording a passage lies in."""
-    rows = neighbour(
-        passages, ["recording_id"], "grp", "passage_id", ["passage_id", "passage_type"], float(CHUNK_ROWS), "_next", ahead=True
-    )
+    rows = adjacent(passages, ["recording_id"], "grp", ["passage_id", "passage_type"], "_next", ahead=True)
     counts = passages.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_n"))
     third = F.floor(F.col("grp") * 3 / F.col("_n"))
     return rows.join(counts, "recording_id").select(

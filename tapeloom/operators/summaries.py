@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.functions.labels import level_label, percent
+from tapeloom.functions.labels import level_label, percent, settled
 from tapeloom.operators.lookups import best_candidate, review_rows
 from tapeloom.operators.quantiles import exact_quantiles, values_at
 from tapeloom.sources.store import top_n
@@ -51,9 +51,9 @@ def passage_types(passages: DataFrame, keys: list[str] | None = None) -> DataFra
     base = passages.groupBy(*group).agg(
         F.count(F.lit(1)).alias("count"),
         F.countDistinct("recording_id").alias("n_recordings"),
-        F.round(F.avg("duration"), 1).alias("mean_duration"),
-        F.round(F.avg("mean_rms"), 6).alias("mean_rms"),
-        F.round(F.avg("mean_spectral_centroid"), 2).alias("mean_spectral_centroid"),
+        settled(F.avg("duration"), 1).alias("mean_duration"),
+        settled(F.avg("mean_rms"), 6).alias("mean_rms"),
+        settled(F.avg("mean_spectral_centroid"), 2).alias("mean_spectral_centroid"),
     )
     named = passages.filter("song_title is not null and song_title <> ''")
     tally = named.groupBy(*group, "song_title").agg(F.count(F.lit(1)).alias("_n"))

@@ -90,15 +90,20 @@ SQL_MACROS = {
     "@SECS": "((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01 00:00:00')) / CAST(1000000 AS DOUBLE))",
     "@LIST": "list_value", "@UNNEST": "unnest", "@TS": "TIMESTAMP",
 }
+def half_up(expr: str, digits: int) -> str:
+    """DuckDB text of the operators' rounding: half up in decimal, after dropping float noise."""
+    return f"CAST(round(CAST(round({expr}, 12) AS DECIMAL(38, 12)), {digits}) AS DOUBLE)"
+
+
 # Views the SQL twins use on top of the entities. Text is DuckDB's.
 SQL_VIEWS = {
     "seg_vec": """SELECT s.id AS segment_id, s.recording_id, s.start_seconds, s.end_seconds, s.mean_rms, s.mean_spectral_centroid,
   CAST(e.embedding AS DOUBLE[]) AS embedding FROM segments s JOIN embeddings e USING (vec_id) JOIN recordings r ON r.id = s.recording_id""",
     "indexed": """SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_seconds, segment_id) - 1 AS idx,
   count(*) OVER (PARTITION BY recording_id) AS n FROM seg_vec""",
-    "blocks": """SELECT g.*, sum(1) OVER (PARTITION BY recording_id ORDER BY grp) AS _o FROM (
+    "blocks": f"""SELECT g.*, sum(1) OVER (PARTITION BY recording_id ORDER BY grp) AS _o FROM (
   SELECT i.recording_id, CAST(floor(i.idx / 4) AS BIGINT) AS grp, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds,
-  count(*) AS segment_count, round(avg(mean_rms), 6) AS mean_rms, round(avg(mean_spectral_centroid), 2) AS mean_spectral_centroid,
+  count(*) AS segment_count, {half_up('avg(mean_rms)', 6)} AS mean_rms, {half_up('avg(mean_spectral_centroid)', 2)} AS mean_spectral_centroid,
   round(max(end_seconds) - min(start_seconds), 2) AS duration FROM indexed i GROUP BY 1, 2) g""",
     "passages": """SELECT b.recording_id, b.grp, b.start_seconds, b.end_seconds, b.segment_count, b.mean_rms, b.mean_spectral_centroid,
   b.duration, b.grp AS passage_type, row_number() OVER (ORDER BY b.recording_id, b.grp) - 1 AS passage_id, v.session_date, v.song_title,

@@ -8,7 +8,7 @@ from tapeloom.operators import lookups as J
 from tapeloom.operators import sequence as Q
 from tapeloom.operators import summaries as S
 from tapeloom.operators.similarity import mean_vectors
-from tapeloom.plans.base import Archive, plan
+from tapeloom.plans.base import Archive, half_up, plan
 from tapeloom.sources import store
 
 META = ["recording_title", "audio_path", "session_date", "song_title", "effective_type"]
@@ -35,7 +35,7 @@ CHAIN_SQL = f"curve AS ({CURVE_SQL}), peaks AS ({PEAKS_SQL}), bounds AS ({BOUNDS
 MEMBERS_SQL = f"""{CHAIN_SQL}, members AS (SELECT i.*, CAST(count(b.idx) OVER (PARTITION BY i.recording_id ORDER BY i.idx) AS BIGINT) AS grp
  FROM indexed i LEFT JOIN bounds b ON b.recording_id = i.recording_id AND b.idx = i.idx AND b.idx > 0)"""
 PASSAGES_SQL = f"""{MEMBERS_SQL}, found AS (SELECT m.recording_id, m.grp, min(start_seconds) AS start_seconds, max(end_seconds) AS end_seconds, count(*) AS segment_count,
- round(max(end_seconds) - min(start_seconds), 2) AS duration, round(avg(mean_rms), 6) AS mean_rms, round(avg(mean_spectral_centroid), 2) AS mean_spectral_centroid
+ round(max(end_seconds) - min(start_seconds), 2) AS duration, {half_up('avg(mean_rms)', 6)} AS mean_rms, {half_up('avg(mean_spectral_centroid)', 2)} AS mean_spectral_centroid
  FROM members m GROUP BY 1, 2)"""
 
 
@@ -123,8 +123,8 @@ def q7(a: Archive):
     return _change_members(a).select("recording_id", "segment_id", "idx", "grp")
 
 
-POINTS_SQL = """SELECT {m}g.recording_id, g.grp, round(avg(p.x), 5) AS x, round(avg(p.y), 5) AS y, min(i.start_seconds) AS start_seconds, max(i.end_seconds) AS end_seconds,
- count(*) AS segment_count, round(avg(i.mean_rms), 6) AS mean_rms, round(avg(i.mean_spectral_centroid), 2) AS mean_spectral_centroid,
+POINTS_SQL = f"""SELECT {{m}}g.recording_id, g.grp, {half_up('avg(p.x)', 5)} AS x, {half_up('avg(p.y)', 5)} AS y, min(i.start_seconds) AS start_seconds, max(i.end_seconds) AS end_seconds,
+ count(*) AS segment_count, {half_up('avg(i.mean_rms)', 6)} AS mean_rms, {half_up('avg(i.mean_spectral_centroid)', 2)} AS mean_spectral_centroid,
  round(max(i.end_seconds) - min(i.start_seconds), 2) AS duration FROM groups_ g JOIN indexed i USING (recording_id, segment_id)"""
 
 
@@ -175,8 +175,8 @@ def blocks(a: Archive):
     return Q.extract_passages(indexed)
 
 
-@plan("G2_passage_types", """SELECT p.passage_type, count(*) AS count, count(DISTINCT recording_id) AS n_recordings, round(avg(duration), 1) AS mean_duration, round(avg(mean_rms), 6) AS mean_rms,
- round(avg(mean_spectral_centroid), 2) AS mean_spectral_centroid, max(s.top_songs) AS top_songs FROM passages p LEFT JOIN (
+@plan("G2_passage_types", f"""SELECT p.passage_type, count(*) AS count, count(DISTINCT recording_id) AS n_recordings, {half_up('avg(duration)', 1)} AS mean_duration, {half_up('avg(mean_rms)', 6)} AS mean_rms,
+ {half_up('avg(mean_spectral_centroid)', 2)} AS mean_spectral_centroid, max(s.top_songs) AS top_songs FROM passages p LEFT JOIN (
  SELECT passage_type, string_agg(concat(song_title, '=', c), ', ' ORDER BY c DESC, song_title) AS top_songs FROM (SELECT passage_type, song_title, count(*) AS c FROM passages
  WHERE song_title IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY passage_type ORDER BY count(*) DESC, song_title) <= 5) x GROUP BY 1) s
  ON s.passage_type = p.passage_type GROUP BY 1""")
