@@ -173,7 +173,7 @@ def likely_copies(items: DataFrame, sections: tuple[str, str], distance: int = 2
     )
     m = F.length("right_title")
     right = (
-        b.withColumn("_len", F.explode(F.sequence(F.greatest(m - distance, F.lit(0)), m + distance)).cast("long"))
+        b.withColumn("_len", F.explode(F.sequence(F.greatest(m - distance, F.lit(0)), m + distance).cast("array<bigint>")))
         .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
         .withColumn("_shift", F.explode(F.sequence(F.lit(-distance), F.lit(distance))))
     )

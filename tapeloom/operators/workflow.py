@@ -18,6 +18,7 @@ from tapeloom.operators.lookups import needs_processing, nearest_start
 from tapeloom.operators.ordered import carry_forward, running_total
 from tapeloom.operators.series import series_cut
 from tapeloom.operators.summaries import best_confidence, recording_levels
+from tapeloom.session import cut_lineage
 from tapeloom.sources.inventory import dense_ids
 from tapeloom.sources.store import latest
 
@@ -114,14 +115,15 @@ def jam_titles(rows: DataFrame, date: str, order: str, songs: DataFrame) -> Data
 
 def create_songs(requests: DataFrame, songs: DataFrame, order: str = "seq") -> DataFrame:
     """Songs to add for requested titles; run ``match_songs`` again on the result."""
-    slugged = unique_slugs(requests.withColumn("_slug", slugify(F.col("title"))), "_slug", order, songs)
+    slugged = unique_slugs(cut_lineage(requests).withColumn("_slug", slugify(F.col("title"))), "_slug", order, songs)
     return dense_ids(slugged, order, songs).select("id", "title", "slug", "song_type")
 
 
 def create_jams(rows: DataFrame, songs: DataFrame, date: str, order: str) -> DataFrame:
     """A new jam song for each row, with title and slug; keeps the row's columns."""
-    titled = jam_titles(rows, date, order, songs)
-    slugged = unique_slugs(titled.withColumn("_slug", slugify(F.col("title"))), "_slug", order, songs)
+    # Few rows, read several times by every step.
+    titled = cut_lineage(jam_titles(cut_lineage(rows), date, order, songs))
+    slugged = cut_lineage(unique_slugs(titled.withColumn("_slug", slugify(F.col("title"))), "_slug", order, songs))
     return dense_ids(slugged, order, songs).withColumn("song_type", F.lit("jam")).drop("_slug")
 
 
@@ -159,12 +161,25 @@ def _last(decisions: DataFrame, when: Column, cols: list[str], out: str) -> Colu
     return F.max_by(F.struct("seq", *cols), F.when(when, F.col("seq"))).alias(out)
 
 
-def decision_jams(decisions: DataFrame, recordings: DataFrame) -> DataFrame:
+def resolve(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Decisions with the recording and song of their candidate; those on unknown candidates drop out."""
+    picked = candidates.select(
+        F.col("id").alias("candidate_id"), F.col("recording_id").alias("_owner"), F.col("song_id").alias("candidate_song")
+    )
+    on_candidate = F.col("kind").isin("accept", "reject")
+    joined = decisions.join(picked, "candidate_id", "left").filter(~on_candidate | F.col("_owner").isNotNull())
+    return joined.withColumn(
+        "recording_id", F.when(on_candidate, F.col("_owner")).otherwise(F.col("recording_id"))
+    ).drop("_owner")
+
+
+def decision_jams(decisions: DataFrame, recordings: DataFrame, candidates: DataFrame) -> DataFrame:
     """Classify-as-jam decisions that find their recording without a song, so create one.
 
     The song before a decision is the one set last before it (by a decision or the table). Returns seq
     and recording_id.
     """
+    decisions = resolve(decisions, candidates)
     setters = F.col("kind").isin("assign", "unassign", "accept", "revert") | (
         (F.col("kind") == "classify") & (F.col("content_type") == "song_take")
     )
@@ -197,14 +212,14 @@ def apply_to_recordings(
     jam gets a song only if it has none; both look at the last outright setter. ``jam_songs`` has seq,
     recording_id and the new song's id (from ``decision_jams`` and ``create_jams``).
     """
-    picked = candidates.select(F.col("id").alias("candidate_id"), F.col("song_id").alias("_candidate_song"))
     new = jam_songs.select("seq", F.col("id").alias("_jam_song"))
     kind = F.col("kind")
     known = (
-        decisions.filter(kind.isin("classify", "batch_classify", "assign", "unassign", "accept", "revert"))
-        .join(picked, "candidate_id", "left").join(new, "seq", "left")
+        resolve(decisions, candidates)
+        .filter(kind.isin("classify", "batch_classify", "assign", "unassign", "accept", "revert"))
+        .join(new, "seq", "left")
         .withColumn("_type", F.when(kind.isin("assign", "accept"), "song_take").when(kind != "revert", F.col("content_type")))
-        .withColumn("_song", F.when(kind == "accept", F.col("_candidate_song"))
+        .withColumn("_song", F.when(kind == "accept", F.col("candidate_song"))
                     .when(kind == "assign", F.col("song_id"))
                     .when((kind == "classify") & (F.col("content_type") == "song_take"), F.col("song_id"))
                     .when(kind == "classify", F.col("_jam_song")))
@@ -243,10 +258,7 @@ def apply_to_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFram
     Decisions are reduced to one row per recording (and per rejected candidate) before the join.
     """
     kind = F.col("kind")
-    picked = candidates.select(F.col("id").alias("candidate_id"), F.col("recording_id").alias("_owner"))
-    owned = decisions.join(picked, "candidate_id", "left").withColumn(
-        "recording_id", F.coalesce("recording_id", "_owner")
-    )
+    owned = resolve(decisions, candidates)
     resets = owned.filter(kind.isin("accept", "unassign", "revert")).groupBy("recording_id").agg(
         F.max_by(F.struct("seq", "kind", "candidate_id", "at"), "seq").alias("_reset")
     )
@@ -311,7 +323,7 @@ def split_recordings(
     their part, B is shifted to start at 0, song, title, type and candidates are lost, and steps ingest,
     librosa and clap count as done.
     """
-    good = plan.filter("error is null").select("recording_id", "cut", "at")
+    good = cut_lineage(plan.filter("error is null").select("recording_id", "cut", "at"))
     numbered = dense_ids(good, "recording_id", recordings.limit(0)).withColumnRenamed("id", "_k")
     top = recordings.agg(F.max("id")).scalar()
     parts = numbered.withColumn("_part", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
