@@ -9,7 +9,6 @@ from tapeloom.operators import similarity as V
 from tapeloom.operators import states as D
 from tapeloom.operators.ordered import ordinal
 from tapeloom.plans.base import Archive, plan
-from tapeloom.plans.ingest import DITEMS_SQL, _distinct_items
 from tapeloom.plans.passages import blocks
 
 
@@ -126,11 +125,13 @@ def d9(a: Archive):
     return D.state_sequence(blocks(a)).withColumn("states", F.array_join(F.col("states").cast("array<string>"), ">"))
 
 
-@plan("D10_likely_copies", f"""WITH it AS (SELECT DISTINCT section, date, lower(title) AS low FROM ({DITEMS_SQL}) i WHERE date IS NOT NULL AND title IS NOT NULL)
- SELECT a.date, a.low AS left_title, b.low AS right_title, CAST(levenshtein(a.low, b.low) AS INT) AS edits FROM it a JOIN it b ON a.date = b.date AND a.section = 'jams' AND b.section = 'temas'
- AND levenshtein(a.low, b.low) <= 4""")
+@plan("D10_likely_copies", """WITH it AS (SELECT DISTINCT r.origin, s.date, lower(r.title) AS low FROM recordings r JOIN sessions s ON s.id = r.session_id WHERE r.title IS NOT NULL)
+ SELECT a.date, a.low AS left_title, b.low AS right_title, CAST(levenshtein(a.low, b.low) AS INT) AS edits FROM it a JOIN it b ON a.date = b.date AND a.origin = 'pretrimmed'
+ AND b.origin = 'vad_segment' AND levenshtein(a.low, b.low) <= 2""")
 def d10(a: Archive):
-    return D.likely_copies(_distinct_items(a), ("jams", "temas"), 4)
+    dates = a.sessions.select(F.col("id").alias("session_id"), "date")
+    items = a.recordings.join(dates, "session_id").select(F.col("origin").alias("section"), "date", "title")
+    return D.likely_copies(items, ("pretrimmed", "vad_segment"), 2)
 
 
 @plan("D10_equal_contents", """SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1""")
