@@ -30,12 +30,12 @@ LIST_PAGE = 4096
 TIME_CHUNK = SEGMENT_STEP_SECONDS * CHUNK_ROWS
 
 
-def index_segments(segments: DataFrame) -> DataFrame:
+def index_segments(segments: DataFrame, time_chunk: float = TIME_CHUNK) -> DataFrame:
     """Position ``idx`` of each segment in its recording and the recording's segment count ``n``."""
-    return ordinal(segments, ["recording_id"], "start_seconds", "segment_id", TIME_CHUNK, "idx", "n")
+    return ordinal(segments, ["recording_id"], "start_seconds", "segment_id", time_chunk, "idx", "n")
 
 
-def novelty_curve(indexed: DataFrame, kernel_size: int = KERNEL_SIZE) -> DataFrame:
+def novelty_curve(indexed: DataFrame, kernel_size: int = KERNEL_SIZE, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Q1: checkerboard novelty of every segment; input from ``index_segments`` with ``embedding``.
 
     The checkerboard has the sign +1 where both segments lie on the same side of the centre, else -1,
@@ -44,7 +44,7 @@ def novelty_curve(indexed: DataFrame, kernel_size: int = KERNEL_SIZE) -> DataFra
     is narrow and read several times afterwards, so it is written out.
     """
     h = kernel_size // 2
-    rows = with_halo(indexed.select("recording_id", "segment_id", "idx", "n", "embedding"), "idx", h, h)
+    rows = with_halo(indexed.select("recording_id", "segment_id", "idx", "n", "embedding"), "idx", h, h, chunk)
 
     def curve(table: pa.Table, starts: np.ndarray) -> pa.Table:
         unit = unit_rows(matrix(table, "embedding"))
@@ -77,19 +77,19 @@ def peak_distance(min_passage: float = MIN_PASSAGE_SECONDS, step: float = SEGMEN
     return max(1, int(min_passage / step))
 
 
-def local_peaks(curve: DataFrame, threshold: float = PEAK_THRESHOLD) -> DataFrame:
+def local_peaks(curve: DataFrame, threshold: float = PEAK_THRESHOLD, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Q2: strict local maxima not lower than mean + threshold * deviation, before spacing.
 
     A plateau counts once, at its middle (rounded down). Both ends of a recording are never peaks.
     """
-    keys, width = ["recording_id"], float(CHUNK_ROWS)
+    keys = ["recording_id"]
     value = curve.withColumn("_v", F.round("novelty", 9)).filter("n >= 3")
     stats = value.groupBy("recording_id").agg(
         (F.avg("_v") + threshold * F.stddev_pop("_v")).alias("_height")
     )
-    runs = adjacent(value.select("recording_id", "idx", "segment_id", "_v"), keys, "idx", ["_v"], "_prev")
+    runs = adjacent(value.select("recording_id", "idx", "segment_id", "_v"), keys, "idx", ["_v"], "_prev", size=chunk)
     runs = runs.filter(F.col("_prev").isNull() | (F.col("_prev._v") != F.col("_v")))
-    runs = neighbour(runs, keys, "idx", "segment_id", ["idx", "_v"], width, "_next", ahead=True)
+    runs = neighbour(runs, keys, "idx", "segment_id", ["idx", "_v"], float(chunk), "_next", ahead=True)
     top = (F.col("_prev._v") < F.col("_v")) & (F.col("_next._v") < F.col("_v"))
     return (
         runs.filter(top).join(stats, "recording_id").filter(F.col("_v") >= F.col("_height"))
@@ -97,7 +97,7 @@ def local_peaks(curve: DataFrame, threshold: float = PEAK_THRESHOLD) -> DataFram
     )
 
 
-def space_peaks(peaks: DataFrame, distance: int) -> DataFrame:
+def space_peaks(peaks: DataFrame, distance: int, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Q2: drop peaks closer than ``distance`` to a higher one, highest first, later one on a tie.
 
     Peaks further apart than ``distance`` cannot affect each other, so each chain of close peaks is
@@ -105,7 +105,7 @@ def space_peaks(peaks: DataFrame, distance: int) -> DataFrame:
     """
     if distance <= 2:
         return peaks
-    keys, width = ["recording_id"], float(CHUNK_ROWS)
+    keys, width = ["recording_id"], float(chunk)
     peaks = cut_lineage(peaks)
     linked = neighbour(peaks, keys, "idx", "idx", ["idx"], width, "_prev")
     starts = F.when(F.col("_prev").isNull() | (F.col("idx") - F.col("_prev.idx") >= distance), 1).otherwise(0)
@@ -132,18 +132,18 @@ def space_peaks(peaks: DataFrame, distance: int) -> DataFrame:
 
 
 def pick_boundaries(
-    curve: DataFrame, threshold: float = PEAK_THRESHOLD, distance: int | None = None
+    curve: DataFrame, threshold: float = PEAK_THRESHOLD, distance: int | None = None, chunk: int = CHUNK_ROWS
 ) -> DataFrame:
     """Q2: boundary segments of each recording."""
-    return space_peaks(local_peaks(curve, threshold), distance or peak_distance())
+    return space_peaks(local_peaks(curve, threshold, chunk), distance or peak_distance(), chunk)
 
 
-def assign_passages(indexed: DataFrame, boundaries: DataFrame) -> DataFrame:
+def assign_passages(indexed: DataFrame, boundaries: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Q4: ``grp``, the number of the passage a segment belongs to."""
     cuts = boundaries.filter("idx > 0").select("recording_id", "idx", F.lit(1).alias("_cut"))
     marked = indexed.join(cuts, ["recording_id", "idx"], "left")
     return running_total(
-        marked, ["recording_id"], "idx", "segment_id", F.coalesce("_cut", F.lit(0)), float(CHUNK_ROWS), "grp", cuts
+        marked, ["recording_id"], "idx", "segment_id", F.coalesce("_cut", F.lit(0)), float(chunk), "grp", cuts
     ).drop("_cut")
 
 
@@ -227,10 +227,10 @@ def boundary_lists(boundaries: DataFrame, page: int = LIST_PAGE) -> DataFrame:
     )
 
 
-def step_distances(indexed: DataFrame) -> DataFrame:
+def step_distances(indexed: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Q7: cosine distance of each segment to the one before it, null for the first; vectors dropped."""
     keep = ["recording_id", "segment_id", "idx", "n"]
-    rows = with_halo(indexed.select(*keep, "embedding"), "idx", 1, 0)
+    rows = with_halo(indexed.select(*keep, "embedding"), "idx", 1, 0, chunk)
 
     def distances(table: pa.Table, starts: np.ndarray) -> pa.Table:
         m = matrix(table, "embedding")
