@@ -9,6 +9,7 @@ from tapeloom.operators.ordered import ordinal
 from tapeloom.sources.inventory import dense_ids, first_per, with_scan_order
 
 TAKES_PAGE = 1000
+CANDIDATES_PAGE = 1000
 ID_CHUNK = 1 << 20
 
 
@@ -100,13 +101,15 @@ def review_rows(
 ) -> DataFrame:
     """Recordings as the reviewer sees them, with open candidates and mean features.
 
-    Candidates per recording are few by construction (the best ``top`` of a match), so they nest.
+    Candidates nest in rank order, a page of ``CANDIDATES_PAGE`` ranks per row; a match keeps few, so there
+    is one page unless somebody stores thousands.
     """
     extra = recordings.select("id", "content_type", "content_type_source")
     open_candidates = (
-        candidates.filter("status <> 'rejected'").groupBy(F.col("recording_id").alias("id"))
+        candidates.filter("status <> 'rejected'")
+        .groupBy(F.col("recording_id").alias("id"), F.floor((F.col("rank") - 1) / CANDIDATES_PAGE).alias("_page"))
         .agg(F.sort_array(F.collect_list(F.struct("rank", F.col("id").alias("candidate_id"), "song_id", "confidence", "status")))
-             .alias("candidates"))
+             .alias("candidates")).drop("_page")
     )
     levels = segments.groupBy(F.col("recording_id").alias("id")).agg(
         F.avg("mean_rms").alias("mean_rms"), F.avg("mean_spectral_centroid").alias("mean_spectral_centroid")

@@ -197,11 +197,9 @@ def equal_contents(files: DataFrame, content: str, id_col: str) -> DataFrame:
 def takes_in_order(recordings: DataFrame, sessions: DataFrame) -> DataFrame:
     """Number of a take among its song's takes by date, undated ones last."""
     ses = sessions.select(F.col("id").alias("session_id"), F.col("date").alias("session_date"))
-    rows = recordings.filter("song_id is not null").join(ses, "session_id", "left").withColumn(
-        "_month", F.coalesce(
-            F.substring("session_date", 1, 4).try_cast("long") * 12 + F.substring("session_date", 6, 2).try_cast("long"),
-            F.lit(1 << 40))
-    )
+    month = F.substring("session_date", 1, 4).try_cast("long") * 12 + F.substring("session_date", 6, 2).try_cast("long")
+    undated = F.lit(1 << 40) + F.floor(F.col("id") / (1 << 20))
+    rows = recordings.filter("song_id is not null").join(ses, "session_id", "left").withColumn("_month", F.coalesce(month, undated))
     months = rows.groupBy("song_id", "_month").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("song_id").orderBy("_month").rowsBetween(Window.unboundedPreceding, -1)
     months = months.select("song_id", "_month", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))

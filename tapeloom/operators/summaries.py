@@ -167,7 +167,7 @@ def scale_domains(points: DataFrame) -> DataFrame:
     ).withColumn("_all", F.lit(0))
     positive = points.filter("duration > 0").select(F.lit(0).alias("_all"), "duration")
     marks = values_at(positive, ["_all"], "duration", {
-        "duration_p10": F.floor(F.col("_n") * F.lit(0.1)), "duration_p90": F.floor(F.col("_n") * F.lit(0.9)),
+        "duration_p10": (0.1, F.floor(F.col("_n") * F.lit(0.1))), "duration_p90": (0.9, F.floor(F.col("_n") * F.lit(0.9))),
     })
     return ranges.join(marks, "_all", "left").drop("_all")
 

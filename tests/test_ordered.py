@@ -73,5 +73,9 @@ def test_quantiles_match_numpy(spark):
     for k in (1, 2, 3):
         xs = [x for kk, x in data if kk == k and x is not None]
         assert np.allclose([got[k][c] for c in "abcd"], np.percentile(xs, [0, 25, 99.5, 100]))
-    at = values_at(df.filter("k = 1"), ["k"], "x", {"p": F.floor(F.col("_n") * F.lit(0.9))}).head().p
+    # Large groups, with copies and far outliers, go through the sketch.
+    big = np.r_[rng.normal(size=60000), np.full(30000, 0.25), 1e30, -1e18]
+    one = exact_quantiles(spark.createDataFrame([(float(x),) for x in big], "x double").repartition(6), [], "x", {"a": 0.0, "b": 0.5, "c": 0.7, "d": 0.995, "e": 1.0}).head()
+    assert np.allclose([one[c] for c in "abcde"], np.percentile(big, [0, 50, 70, 99.5, 100]))
+    at = values_at(df.filter("k = 1"), ["k"], "x", {"p": (0.9, F.floor(F.col("_n") * F.lit(0.9)))}).head().p
     assert at == sorted(x for k, x in data if k == 1)[int(501 * 0.9)]
