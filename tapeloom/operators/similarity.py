@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.vectors import dot, l2_normalize, norm
-from tapeloom.operators.ordered import map_groups, matrix, ordinal, unit_rows
+from tapeloom.operators.ordered import CHUNK_ROWS, map_groups, matrix, ordinal, unit_rows, with_halo
 from tapeloom.operators.quantiles import exact_quantiles
 from tapeloom.session import cut_lineage
 from tapeloom.sources.store import top_n
@@ -201,8 +201,30 @@ def mean_vectors(rows: DataFrame, keys: list[str], vector: str, out: str, normal
     return means.select(*keys, (l2_normalize(F.col("_mean")) if normalize else F.col("_mean")).alias(out))
 
 
+def similarity_band(indexed: DataFrame, reach: int, chunk: int = CHUNK_ROWS) -> DataFrame:
+    """V8: cosines of each segment to the next ``reach`` segments of its recording, as one array.
+
+    Input from ``index_segments``. The full matrix is only ever needed as a picture, see ``ssm_tiles``.
+    """
+    keep = ["recording_id", "segment_id", "idx"]
+    rows = with_halo(indexed.select(*keep, "embedding"), "idx", 0, reach, chunk)
+
+    def band(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        u = unit_rows(matrix(table, "embedding"))
+        ends = np.repeat(np.r_[starts[1:], len(u)], np.diff(np.r_[starts, len(u)]))
+        shifted = [np.clip((u[:len(u) - d] * u[d:]).sum(axis=1), -1.0, 1.0) for d in range(1, min(reach, len(u) - 1) + 1)]
+        cosines = [[float(shifted[d - 1][i]) for d in range(1, min(reach, e - 1 - i) + 1)] for i, e in enumerate(ends)]
+        out = table.select(keep).append_column("cosines", pa.array(cosines, pa.list_(pa.float64())))
+        return out.filter(table.column("_core"))
+
+    return map_groups(
+        rows, ["recording_id", "_chunk"], ["idx"], band,
+        "recording_id bigint, segment_id bigint, idx bigint, cosines array<double>",
+    )
+
+
 def ssm_tiles(segments: DataFrame, max_size: int = 200, width: float = 10.0 * 4096) -> DataFrame:
-    """V8/V9: grey picture of each recording's self-similarity, one output row per picture row.
+    """V9: grey picture of each recording's self-similarity, one output row per picture row.
 
     The mean of a block of cosines is the inner product of the two mean unit vectors, so a recording
     is first reduced to fewer than ``2 * max_size`` tile means; pairs of segments are never formed. With

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tapeloom.operators import workflow as W
+from tapeloom.operators.summaries import outcome_summary
 from tapeloom.plans.base import Archive, plan
 
 
@@ -192,21 +193,18 @@ def w8e(a: Archive):
 
 # New slugs in order: the n-th new row of a base gets the n-th number that is not taken.
 SLUG_SQL = """(SELECT o_orderkey AS seq, concat('Song ', o_custkey % 40) AS title, concat('song-', o_custkey % 40) AS base FROM orders)"""
-TAKEN_SQL = "(SELECT concat('song-', p_partkey % 40, CASE WHEN p_partkey < 80 THEN '' ELSE concat('-', 2 * (p_partkey // 40)) END) AS slug FROM part WHERE p_partkey < 400)"
+TAKEN_SQL = "(SELECT concat('song-', p_partkey % 40, CASE WHEN p_partkey < 80 THEN '' ELSE concat('-', 2 * (p_partkey // 40)) END) AS slug FROM part)"
 
 
 @plan("W11_unique_slugs", f"""WITH want AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) AS j FROM {SLUG_SQL} w),
- num AS (SELECT base, unnest(range(0, m + 400)) AS k FROM (SELECT base, max(j) AS m FROM want GROUP BY 1) b),
+ num AS (SELECT base, unnest(range(0, m + (SELECT count(*) // 40 + 2 FROM part))) AS k FROM (SELECT base, max(j) AS m FROM want GROUP BY 1) b),
  free AS (SELECT base, k, row_number() OVER (PARTITION BY base ORDER BY k) AS j FROM num WHERE CASE WHEN k = 0 THEN base ELSE concat(base, '-', k) END NOT IN (SELECT slug FROM {TAKEN_SQL} t))
  SELECT w.seq, w.title, CASE WHEN k = 0 THEN w.base ELSE concat(w.base, '-', k) END AS slug FROM want w JOIN free USING (base, j)""")
 def w11(a: Archive):
     want = a.table("orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("Song "), (F.col("o_custkey") % 40).cast("string")).alias("title"))
-    part = a.table("part").filter("p_partkey < 400")
-    taken = part.selectExpr("p_partkey AS id", "concat('song-', CAST(p_partkey % 40 AS STRING), CASE WHEN p_partkey < 80 THEN '' ELSE "
+    taken = a.table("part").selectExpr("p_partkey AS id", "concat('song-', CAST(p_partkey % 40 AS STRING), CASE WHEN p_partkey < 80 THEN '' ELSE "
                             "concat('-', CAST(2 * (p_partkey div 40) AS STRING)) END) AS slug")
-    from tapeloom.functions.text import slugify
-
-    return W.unique_slugs(want.withColumn("base", slugify(F.col("title"))), "base", "seq", taken).select("seq", "title", "slug")
+    return W.unique_slugs(want.withColumn("base", W.slugify(F.col("title"))), "base", "seq", taken).select("seq", "title", "slug")
 
 
 @plan("W9_create_songs", f"""SELECT concat('Song ', o_custkey % 40) AS title, 'original' AS song_type, count(*) AS n FROM orders GROUP BY 1, 2""")
@@ -256,8 +254,6 @@ def w13(a: Archive):
 
 @plan("G16_backfill_summary", f"SELECT outcome, count(*) AS n FROM {BACKFILL_SQL} b GROUP BY 1")
 def g16(a: Archive):
-    from tapeloom.operators.summaries import outcome_summary
-
     return outcome_summary(W.backfill_content_type(a.recordings, a.songs))
 
 
@@ -284,8 +280,6 @@ def w15(a: Archive):
 
 @plan("G16_classify_summary", f"SELECT outcome, count(*) AS n FROM {AUTO_SQL} a GROUP BY 1")
 def g16b(a: Archive):
-    from tapeloom.operators.summaries import outcome_summary
-
     return outcome_summary(W.auto_classify(a.recordings, a.candidates, a.segments))
 
 

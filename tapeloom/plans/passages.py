@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tapeloom.operators import lookups as J
@@ -9,6 +11,7 @@ from tapeloom.operators import sequence as Q
 from tapeloom.operators import summaries as S
 from tapeloom.operators.similarity import mean_vectors
 from tapeloom.plans.base import Archive, half_up, plan
+from tapeloom.session import work_dir
 from tapeloom.sources import store
 
 META = ["recording_title", "audio_path", "session_date", "song_title", "effective_type"]
@@ -244,6 +247,14 @@ def s13(a: Archive):
     return store.list_runs(types, config)
 
 
+@plan("S11_written_run", "SELECT 'ssm-k8-t0p5' AS run, passage_id, recording_id, duration FROM passages")
+def s11(a: Archive):
+    root = f"{work_dir(a.spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
+    name = store.run_name(8, 0.5)
+    store.write_run(root, name, {"passages": blocks(a)})
+    return store.read_runs(a.spark, root, "passages").filter(F.col("run") == name).select("run", "passage_id", "recording_id", "duration")
+
+
 @plan("G9_compare_runs", """SELECT 'm' || cluster_id % 2 AS method, CAST(cluster_id + 2 AS BIGINT) AS n_clusters, cluster_id AS run,
  round(count(*) FILTER (effective_type = 'jam') / count(*) * 100, 1) AS noise_pct FROM clusters WHERE cluster_id >= 0 GROUP BY cluster_id ORDER BY 1, 2""")
 def g9(a: Archive):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions.vectors import cosine_distance, l2_normalize
 from tapeloom.operators import similarity as V
+from tapeloom.operators.sequence import index_segments
 from tapeloom.plans.base import Archive, plan
 
 COSINE = "round(list_cosine_similarity(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[])), 9)"
@@ -100,6 +101,14 @@ def v7(a: Archive):
     return out.select(*[F.round(c, 6).alias(c) for c in ("min", "p25", "median", "p75", "max")], "processed", "inserted")
 
 
+@plan("V8_similarity_band", """SELECT segment_id, idx, n_next, round(total, 6) AS total FROM (SELECT a.segment_id, a.idx, count(b.idx) AS n_next,
+ coalesce(sum(list_cosine_similarity(a.embedding, b.embedding)), 0) AS total FROM indexed a LEFT JOIN indexed b ON b.recording_id = a.recording_id AND b.idx > a.idx AND b.idx <= a.idx + 7 GROUP BY 1, 2) t""")
+def v8(a: Archive):
+    band = V.similarity_band(index_segments(a.wide), 7)
+    total = F.aggregate("cosines", F.lit(0.0), lambda x, y: x + y)
+    return band.select("segment_id", "idx", F.size("cosines").cast("long").alias("n_next"), F.round(total, 6).alias("total"))
+
+
 UNIT_SQL = "(SELECT recording_id, idx, n, list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y)))) AS u FROM indexed)"
 
 

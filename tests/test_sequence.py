@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.operators import sequence as Q
-from tapeloom.operators.similarity import ssm_tiles
+from tapeloom.operators.similarity import similarity_band, ssm_tiles
 
 LENGTHS = {1: 45, 2: 1, 3: 2, 4: 7, 5: 30, 6: 5}
 
@@ -150,3 +150,13 @@ def test_tiles_equal_block_means_of_the_full_matrix(spark, data):
         want = np.floor(np.round(np.clip((np.round(full, 6) + 1) * 127.5, 0, 255), 6)).astype(int)
         mine = np.array(got[got.recording_id == rec].sort_values("tile").pixels.tolist())
         assert (mine == want).all()
+
+
+def test_band_of_the_similarity_matrix(spark, data):
+    df, vectors = data
+    got = similarity_band(Q.index_segments(df), 4, chunk=3).orderBy("recording_id", "idx").collect()
+    for r in got:
+        u = unit(vectors[r.recording_id])
+        want = [float(u[r.idx] @ u[j]) for j in range(r.idx + 1, min(r.idx + 5, len(u)))]
+        assert np.allclose(r.cosines, want)
+    assert len(got) == sum(LENGTHS.values())
