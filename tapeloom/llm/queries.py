@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import new_folder, table
+from tapeloom.llm.line_dedup import drop_repeated_lines
 from tapeloom.llm.packing import pack_documents
+from tapeloom.llm.simhash import fingerprint_text, near_duplicates
 from tapeloom.llm.token_files import id_digests, open_token_files, token_starts, write_token_files
 from tapeloom.llm.token_scan import document_counts
 from tapeloom.llm.tokens import default_vocabulary
@@ -55,3 +57,26 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_token_files(table(spark, sf_dir, "documents"), folder, default_vocabulary(), end_id=2)
     read = id_digests(token_starts(open_token_files(spark, folder)))
     return read.select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
+
+
+@query
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+SQL["op3_line_dedup"] = """WITH lines AS (
+  SELECT doc_id, unnest(str_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(str_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+keyed AS (SELECT *, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+shared AS (SELECT key, max(doc_id) AS keep FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT k.*, s.key IS NOT NULL AND k.doc_id < s.keep AS gone FROM keyed k LEFT JOIN shared s USING (key))
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256 FROM marked GROUP BY doc_id"""
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", fingerprint_text("fp").alias("fingerprint"), "component_id")
