@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import new_folder, table
 from tapeloom.llm.line_dedup import drop_repeated_lines
 from tapeloom.llm.packing import pack_documents
+from tapeloom.llm.quality_rules import RATIOS, fit, judge
 from tapeloom.llm.simhash import fingerprint_text, near_duplicates
 from tapeloom.llm.token_files import id_digests, open_token_files, token_starts, write_token_files
 from tapeloom.llm.token_scan import document_counts
@@ -26,6 +27,14 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+                         "rule", *RATIOS)
+
+
 @query
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of each document, counted between end ids in flat files; 49408 is the first number the vocabulary leaves free."""
