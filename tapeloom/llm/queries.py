@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import new_folder, table
+from tapeloom.llm.decontaminate import find_leaks
+from tapeloom.llm.html_text import extract_text
+from tapeloom.llm.licenses import scan_licenses
 from tapeloom.llm.line_dedup import drop_repeated_lines
 from tapeloom.llm.packing import pack_documents
+from tapeloom.llm.pii import personal_data
 from tapeloom.llm.quality_rules import RATIOS, fit, judge
 from tapeloom.llm.simhash import fingerprint_text, near_duplicates
 from tapeloom.llm.token_files import id_digests, open_token_files, token_starts, write_token_files
@@ -89,3 +93,31 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) A
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda x: x["base"])
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each document and benchmark item found in it; other documents have none."""
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
