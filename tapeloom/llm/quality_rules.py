@@ -96,7 +96,11 @@ def text_statistics(df: DataFrame, text: str = "text", drop: bool = True) -> Dat
                          lambda a, b: F.least(width, F.coalesce(b - a, width)))
     df = df.withColumn("n_repeat_words", F.coalesce(
         F.when(F.size("_at") > 0, F.aggregate(covered, F.lit(0), lambda s, x: s + x)), F.lit(0)).cast("long"))
-    return df.drop("_lines", "_words", "_hashes", "_windows", "_sorted", "_at", *([text] if drop else []))
+    # A condition on a statistic must not be moved below it, where it would be spelled out, and computed, many times
+    # over: a number that is no function of the row stands in its way.
+    df = df.withColumn("_no", F.monotonically_increasing_id())
+    df = df.withColumn("n_repeat_words", F.coalesce(F.when(F.col("_no") >= 0, F.col("n_repeat_words")), F.lit(0).cast("long")))
+    return df.drop("_no", "_lines", "_words", "_hashes", "_windows", "_sorted", "_at", *([text] if drop else []))
 
 
 def ratios(df: DataFrame) -> DataFrame:
@@ -108,12 +112,6 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def where_known(df: DataFrame, condition: Column) -> DataFrame:
-    """``where`` on finished statistics: a column that is no function of the row keeps the optimiser from moving the
-    condition below them, where it would be spelled out, and computed, many times over."""
-    return df.withColumn("_no", F.monotonically_increasing_id()).where((F.col("_no") >= 0) & condition).drop("_no")
-
-
 def _gain(p0: float, n0: float, p: float, n: float) -> float:
     return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -math.inf
 
@@ -204,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     sample = sample.select(F.col("doc_id").alias("_doc"), (F.col("_low") == 0).alias("bad"))
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), "_doc")  # max_rows bounds it
-    rows = where_known(ratios(text_statistics(rows)), ~base_failed())
+    rows = ratios(text_statistics(rows)).where(~base_failed())
     rows = store(rows.select("bad", F.pmod(F.xxhash64("_doc", F.lit("fold")), F.lit(3)).alias("fold"), *RATIOS), "labelled-features")
     rules = learn_rules(rows, list(RATIOS))
     discard(rows)
@@ -221,4 +219,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_c
     """The rows of ``docs`` that no rule rejects, with their own columns."""
     rules = fit(docs, labels, max_rows, id_col, text_col)
     own = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
-    return where_known(judge(docs.select(own, F.col(text_col).alias("text")), rules), F.col("kept")).select("_row.*")
+    return judge(docs.select(own, F.col(text_col).alias("text")), rules).where("kept").select("_row.*")
