@@ -9,7 +9,6 @@ from tapeloom.operators.ordered import ordinal
 from tapeloom.sources.inventory import dense_ids, first_per, with_scan_order
 
 TAKES_PAGE = 1000
-CANDIDATES_PAGE = 1000
 ID_CHUNK = 1 << 20
 
 
@@ -97,20 +96,19 @@ def candidate_view(candidates: DataFrame, songs: DataFrame, recordings: DataFram
 
 
 def review_rows(
-    recordings: DataFrame, sessions: DataFrame, songs: DataFrame, candidates: DataFrame, segments: DataFrame
+    recordings: DataFrame, sessions: DataFrame, songs: DataFrame, candidates: DataFrame, segments: DataFrame,
+    archive: DataFrame | None = None,
 ) -> DataFrame:
-    """Recordings as the reviewer sees them, with open candidates and mean features.
+    """Recordings as the reviewer sees them, one row each, with open candidates and mean features.
 
-    Candidates nest in rank order, a page of ``CANDIDATES_PAGE`` ranks per row; a match keeps few, so there
-    is one page unless somebody stores thousands.
+    Candidates nest in rank order with song title and the nearest recording's audio and date (looked up in ``archive``,
+    all recordings, where ``recordings`` are a part of them).
     """
     extra = recordings.select("id", "content_type", "content_type_source")
-    open_candidates = (
-        candidates.filter("status <> 'rejected'")
-        .groupBy(F.col("recording_id").alias("id"), F.floor((F.col("rank") - 1) / CANDIDATES_PAGE).alias("_page"))
-        .agg(F.sort_array(F.collect_list(F.struct("rank", F.col("id").alias("candidate_id"), "song_id", "confidence", "status")))
-             .alias("candidates")).drop("_page")
-    )
+    shown = candidate_view(candidates.filter("status <> 'rejected'"), songs, recordings if archive is None else archive, sessions)
+    open_candidates = shown.groupBy(F.col("recording_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct(
+        "rank", F.col("id").alias("candidate_id"), "song_id", "song_title", "confidence", "status", "nearest_recording_id",
+        "nearest_audio_path", "nearest_session_date"))).alias("candidates"))
     levels = segments.groupBy(F.col("recording_id").alias("id")).agg(
         F.avg("mean_rms").alias("mean_rms"), F.avg("mean_spectral_centroid").alias("mean_spectral_centroid")
     )

@@ -11,7 +11,6 @@ from tapeloom.operators.quantiles import exact_quantiles, values_at
 from tapeloom.sources.store import top_n
 
 NOISE = -1
-PAGE_LIMIT = 1000
 
 
 def review_stats(recordings: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -206,9 +205,8 @@ def review_queue(
 ) -> DataFrame:
     """A page of recordings waiting for review, in queue order.
 
-    Filters reach the scan and the page is cut before the review columns are joined. A page of ordinary
-    size is fetched once, and its ids go to the scans of candidates and segments as pushed-down filters;
-    a very long page stays a lazy plan.
+    Filters reach the scan and the page is cut before the review columns are joined; candidates and segments
+    are semi-joined by its ids, which Spark broadcasts if they are few.
     """
     queue = recordings.filter("song_id is null and origin = 'vad_segment'")
     if status == "unreviewed":
@@ -230,22 +228,16 @@ def review_queue(
         queue = queue.withColumn("_sort", F.lit(None).cast("string"))
         order = [F.asc("id")]
     page = queue.orderBy(*order).offset(offset).limit(limit)
-    if limit <= PAGE_LIMIT:
-        rows = page.collect()
-        page = queue.sparkSession.createDataFrame(rows, page.schema)
-        wanted = F.col("recording_id").isin([r["id"] for r in rows])
-        few_candidates, few_segments = candidates.filter(wanted), segments.filter(wanted)
-    else:
-        ids = page.select(F.col("id").alias("recording_id"))
-        few_candidates = candidates.join(ids, "recording_id", "left_semi")
-        few_segments = segments.join(ids, "recording_id", "left_semi")
-    rows = review_rows(page.drop("_sort"), sessions, songs, few_candidates, few_segments)
+    ids = page.select(F.col("id").alias("recording_id"))
+    few_candidates = candidates.join(ids, "recording_id", "left_semi")
+    few_segments = segments.join(ids, "recording_id", "left_semi")
+    rows = review_rows(page.drop("_sort"), sessions, songs, few_candidates, few_segments, recordings)
     return rows.join(page.select("id", "_sort"), "id").orderBy(*order).drop("_sort")
 
 
 def seeded_order(id_col: str, seed: int) -> list[Column]:
     """Repeatable random order: a hash of id and seed, then the id."""
-    return [F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)]
+    return [F.md5(F.concat(F.col(id_col).cast("string"), F.lit(f":{seed}"))), F.col(id_col)]
 
 
 def sample_per_group(rows: DataFrame, group: str, id_col: str, n: int, seed: int = 42) -> DataFrame:

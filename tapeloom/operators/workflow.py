@@ -51,7 +51,27 @@ def check_decisions(decisions: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- songs created by decisions and by maintenance -------------------------------------------------
 
 def unique_slugs(rows: DataFrame, base: str, order: str, songs: DataFrame) -> DataFrame:
-    """``slug`` for new rows: base, base-1, base-2 ... skipping the slugs already taken.
+    """``slug`` for new rows: base, base-1, base-2 ... skipping the slugs taken by songs and by earlier new rows.
+
+    Rows of one base never clash. Bases that differ by a number may (``tema`` twice and ``tema-1``): then the row first
+    in ``order`` keeps its slug and the other base has to skip it. Bases that can clash share a stem; of each stem the
+    first clash is settled per round, after which all rows before it are as a walk in order would leave them.
+    """
+    lost = None
+    while True:
+        out = cut_lineage(_numbered_slugs(rows, base, order, songs, lost))
+        first = out.groupBy("slug").agg(F.min(order).alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+        losers = out.join(first, "slug").filter(F.col(order) > F.col("_first")).groupBy(
+            F.regexp_replace(F.col(base), r"(-[1-9]\d*)+$", "").alias("_stem")
+        ).agg(F.min_by(F.struct(F.col(base).alias("_base"), F.col("slug").alias("_slug")), order).alias("_l"))
+        found = cut_lineage(losers.select("_l.*"))
+        if found.isEmpty():
+            return out
+        lost = found if lost is None else lost.unionByName(found)
+
+
+def _numbered_slugs(rows: DataFrame, base: str, order: str, songs: DataFrame, lost: DataFrame | None) -> DataFrame:
+    """Rows with ``slug``, each base by itself; ``lost`` has (_base, _slug) that a base must skip besides the songs'.
 
     Candidates of one base are numbered in ``order``. The numbers taken are read off the existing slugs
     of that base, so the n-th new row gets the n-th free number in one pass. A free number is found by
@@ -66,7 +86,11 @@ def unique_slugs(rows: DataFrame, base: str, order: str, songs: DataFrame) -> Da
         .select(F.regexp_replace("slug", r"-[1-9]\d*$", "").alias("_base"), suffix.try_cast("long").alias("_number"))
         .filter("_number is not null").join(bases, "_base", "left_semi")
     )
-    taken = plain.unionByName(numbered).distinct()
+    taken = plain.unionByName(numbered)
+    if lost is not None:
+        number = F.substring_index("_slug", "-", -1).try_cast("long")
+        taken = taken.unionByName(lost.select("_base", F.when(F.col("_slug") == F.col("_base"), 0).otherwise(number).cast("long").alias("_number")))
+    taken = taken.distinct()
     # The i-th taken number t (from 0) leaves t - i free numbers below it.
     gaps = running_total(taken, ["_base"], "_number", "_number", F.lit(1), DECISION_CHUNK, "_i").select(
         "_base", (F.col("_number") - F.col("_i") + 1).alias("_free_below")
@@ -95,13 +119,13 @@ def jam_titles(rows: DataFrame, date: str, order: str, songs: DataFrame) -> Data
     """``title`` of new jams: ``Jam — date``, then ``#2``, ``#3`` ... counting titles that start alike."""
     base = F.concat(F.lit(JAM_PREFIX), F.coalesce(F.col(date), F.lit(JAM_UNDATED)))
     titled = rows.withColumn("_base", base).withColumn("_low", F.lower(base))
-    length = F.length("_low")
-    lengths = titled.select("_low").distinct()
+    lengths = cut_lineage(titled.select("_low").distinct())
     jams = songs.filter("song_type = 'jam'").select(F.lower("title").alias("_title"))
     # A title starts with a base exactly when its prefix of that base's length equals it; base lengths
-    # are few (dated and undated), so the prefix test is an equi-join.
-    sizes = [len(JAM_PREFIX) + len("YYYY-MM-DD"), len(JAM_PREFIX) + len(JAM_UNDATED)]
-    prefixes = jams.select(F.explode(F.array(*[F.substring("_title", 1, n) for n in sorted(set(sizes))])).alias("_low"))
+    # are few, so the prefix test is an equi-join.
+    sizes = lengths.agg(F.array_sort(F.collect_set(F.length("_low")))).scalar()
+    prefixes = jams.select("_title", F.explode(sizes).alias("_size")).filter(F.length("_title") >= F.col("_size")).select(
+        F.expr("substring(_title, 1, _size)").alias("_low"))
     existing = prefixes.join(lengths, "_low", "left_semi").groupBy("_low").agg(F.count(F.lit(1)).alias("_had"))
     numbered = running_total(titled, ["_low"], order, order, F.lit(1), DECISION_CHUNK, "_j")
     count = F.coalesce("_had", F.lit(0)) + F.col("_j")
@@ -162,7 +186,8 @@ def _last(decisions: DataFrame, when: Column, cols: list[str], out: str) -> Colu
 
 
 def resolve(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Decisions with the recording and song of their candidate; those on unknown candidates drop out."""
+    """Valid decisions with the recording and song of their candidate; those on unknown candidates drop out."""
+    decisions, _ = check_decisions(decisions)
     picked = candidates.select(
         F.col("id").alias("candidate_id"), F.col("recording_id").alias("_owner"), F.col("song_id").alias("candidate_song")
     )
@@ -294,8 +319,8 @@ def apply_to_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFram
 
 
 def batch_classified(decisions: DataFrame, recordings: DataFrame) -> DataFrame:
-    """Number of listed recordings that exist."""
-    ids = decisions.filter("kind = 'batch_classify'").select(F.col("recording_id").alias("id"))
+    """Number of recordings that exist, of those listed with a valid type."""
+    ids = check_decisions(decisions)[0].filter("kind = 'batch_classify'").select(F.col("recording_id").alias("id"))
     return ids.join(recordings.select("id"), "id", "left_semi").agg(F.count(F.lit(1)).alias("updated"))
 
 

@@ -15,8 +15,8 @@ from tapeloom.sources.store import load_segments
 
 # One text per view for both engines. @DAYS, @SECS, @LIST and @D are filled in per engine; names in
 # braces are the tables or views read.
-PATH = """CASE o_orderkey % 4 WHEN 0 THEN concat('Temas/Song-', CAST(o_custkey % 60 AS STRING), '/Song-',
-  CAST(o_custkey % 60 AS STRING), CASE WHEN o_orderkey % 8 = 0 THEN '_Demo' ELSE
+PATH = """CASE o_orderkey % 4 WHEN 0 THEN concat('Temas/Song-', CAST(o_custkey AS STRING), '/Song-',
+  CAST(o_custkey AS STRING), CASE WHEN o_orderkey % 8 = 0 THEN '_Demo' ELSE
   concat('_', CAST(CAST(o_orderdate AS DATE) AS STRING)) END, '.mp3')
   WHEN 1 THEN concat('Jams/', CAST(CAST(o_orderdate AS DATE) AS STRING), '/Jam-', CAST(o_custkey AS STRING), '%3f.mp3')
   WHEN 2 THEN concat('Assajos/', CAST(CAST(o_orderdate AS DATE) AS STRING), CASE WHEN o_orderkey % 8 = 2
@@ -29,17 +29,17 @@ VIEWS = {
   @DAYS % 97 = 0 AS date_uncertain, CASE WHEN @DAYS % 13 = 0 THEN 'ft guest' END AS notes FROM {orders}""",
     "songs": """SELECT p_partkey AS id, p_name AS title, concat(lower(replace(p_name, ' ', '-')), '-', CAST(p_partkey AS STRING)) AS slug,
   CASE p_partkey % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'cover' ELSE 'jam' END AS song_type,
-  CASE WHEN p_partkey % 3 = 1 THEN p_brand END AS cover_of FROM {part} WHERE p_partkey < 60""",
+  CASE WHEN p_partkey % 3 = 1 THEN p_brand END AS cover_of FROM {part}""",
     "recordings": f"""SELECT id, session_id, song_id, title, @LIST(path) AS source_path, path AS source, audio_path,
   CASE WHEN origin = 'vad_segment' THEN offset_seconds END AS start_offset_seconds,
   CASE WHEN origin = 'vad_segment' THEN offset_seconds + duration_seconds END AS end_offset_seconds,
   duration_seconds, origin, content_type, content_type_source FROM (
   SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(@DAYS AS BIGINT) END AS session_id,
-  CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey % 60 END AS song_id,
+  CASE WHEN o_orderkey % 3 <> 0 THEN (o_custkey * 4 + o_orderkey % 4) % (SELECT count(*) FROM {{part}}) END AS song_id,
   CASE WHEN o_orderkey % 7 <> 0 THEN concat('Tema ', CAST(o_custkey % 200 AS STRING)) END AS title,
   {PATH} AS path, CAST(o_custkey AS DOUBLE) AS offset_seconds,
   CASE WHEN o_orderkey % 13 <> 0 THEN concat('recordings/', CAST(o_orderkey AS STRING), CASE WHEN o_orderkey % 2 = 0
-  THEN '' ELSE concat('_take-', CAST(o_custkey % 60 AS STRING)) END, '.mp3') END AS audio_path,
+  THEN '' ELSE concat('_take-', CAST(o_custkey AS STRING)) END, '.mp3') END AS audio_path,
   CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'vad_segment' ELSE 'pretrimmed' END AS origin,
   CASE WHEN o_orderkey % 19 <> 0 THEN o_totalprice / @D(1000) END AS duration_seconds,
   CASE WHEN o_orderkey % 3 <> 0 THEN CASE WHEN o_orderkey % 17 = 1 THEN NULL WHEN o_custkey % 3 = 2 THEN 'jam' ELSE 'song_take' END
@@ -50,10 +50,10 @@ VIEWS = {
     "segments": """SELECT id, recording_id, (i - 1) * @D(10) AS start_seconds, (i - 1) * @D(10) + @D(20) AS end_seconds, vec_id,
   mean_rms, mean_spectral_centroid FROM (
   SELECT event_id AS id, user_id AS recording_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
-  CASE WHEN event_id % 41 <> 0 THEN event_id % 500 END AS vec_id,
+  CASE WHEN event_id % 41 <> 0 THEN event_id % (SELECT count(*) FROM {embeddings}) END AS vec_id,
   CASE WHEN event_id % 29 <> 0 THEN value / @D(1000) END AS mean_rms,
   CASE WHEN event_id % 31 <> 0 THEN @D(500) + (event_id * 37) % 4000 END AS mean_spectral_centroid FROM {events}) e""",
-    "candidates": """SELECT o_orderkey * 3 + r AS id, o_orderkey AS recording_id, (o_custkey + r) % 60 AS song_id,
+    "candidates": """SELECT o_orderkey * 3 + r AS id, o_orderkey AS recording_id, (o_custkey * 4 + r) % (SELECT count(*) FROM {part}) AS song_id,
   o_orderkey + 1 AS nearest_recording_id, (1000 - ((o_orderkey * 37) % 700) - r * 100) / @D(1000) AS confidence,
   CAST(r AS BIGINT) AS rank, CASE WHEN (o_orderkey + r) % 5 = 0 THEN 'rejected' WHEN (o_orderkey + r) % 31 = 1 THEN 'accepted'
   ELSE 'pending' END AS status, CAST(NULL AS @TS) AS reviewed_at
@@ -71,13 +71,14 @@ VIEWS = {
   FROM {segments}""",
     "levels": """SELECT user_id AS recording_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) * @D(1) AS t,
   value / @D(10) - @D(48) AS level FROM {events}""",
-    "decisions": """SELECT o_orderkey AS seq, CASE o_orderkey % 9 WHEN 0 THEN 'assign' WHEN 1 THEN 'unassign' WHEN 2 THEN 'accept'
+    # some are invalid: an unknown type, or a take without its song
+    "decision_log": """SELECT o_orderkey AS seq, CASE o_orderkey % 9 WHEN 0 THEN 'assign' WHEN 1 THEN 'unassign' WHEN 2 THEN 'accept'
   WHEN 3 THEN 'reject' WHEN 4 THEN 'revert' WHEN 5 THEN 'batch_classify' WHEN 6 THEN 'split' ELSE 'classify' END AS kind,
-  3 * (o_custkey % 500) AS recording_id, CASE WHEN o_orderkey % 9 = 0 OR o_orderkey % 9 = 7 THEN o_orderkey % 60 END AS song_id,
-  CASE WHEN o_orderkey % 9 IN (2, 3) THEN 9 * (o_custkey % 500) + 1 + o_orderkey % 3 END AS candidate_id,
-  CASE o_orderkey % 9 WHEN 5 THEN 'noodling' WHEN 7 THEN 'song_take' WHEN 8 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'jam'
+  3 * k AS recording_id, CASE WHEN o_orderkey % 9 = 0 OR (o_orderkey % 9 = 7 AND o_orderkey % 13 <> 0) THEN o_orderkey % (SELECT count(*) FROM {part}) END AS song_id,
+  CASE WHEN o_orderkey % 9 IN (2, 3) THEN 9 * k + 1 + o_orderkey % 3 END AS candidate_id,
+  CASE o_orderkey % 9 WHEN 5 THEN CASE WHEN o_orderkey % 11 = 0 THEN 'nonsense' ELSE 'noodling' END WHEN 7 THEN 'song_take' WHEN 8 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'jam'
   ELSE 'banter' END END AS content_type, CASE WHEN o_orderkey % 9 = 6 THEN o_totalprice / @D(2000) END AS split_at,
-  o_orderdate AS at FROM {orders}""",
+  o_orderdate AS at FROM (SELECT *, (o_custkey * 10 + o_orderkey % 10) % (SELECT CAST(ceil(count(*) * 10 / 3.0) AS BIGINT) FROM {customer}) AS k FROM {orders}) t""",
 }
 
 SPARK_MACROS = {
@@ -97,6 +98,7 @@ def half_up(expr: str, digits: int) -> str:
 
 # Views the SQL twins use on top of the entities. Text is DuckDB's.
 SQL_VIEWS = {
+    "decisions": "SELECT * FROM decision_log WHERE coalesce(content_type, '') <> 'nonsense' AND NOT (kind = 'classify' AND content_type = 'song_take' AND song_id IS NULL)",
     "seg_vec": """SELECT s.id AS segment_id, s.recording_id, s.start_seconds, s.end_seconds, s.mean_rms, s.mean_spectral_centroid,
   CAST(e.embedding AS DOUBLE[]) AS embedding FROM segments s JOIN embeddings e USING (vec_id) JOIN recordings r ON r.id = s.recording_id""",
     "indexed": """SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY start_seconds, segment_id) - 1 AS idx,
@@ -176,10 +178,11 @@ class Archive:
     def segments(self) -> DataFrame:
         e = self._event_order()
         start = F.col("_i") * F.lit(10.0)
+        vectors = self.table("embeddings").agg(F.count(F.lit(1))).scalar()
         return e.select(
             F.col("event_id").alias("id"), F.col("user_id").alias("recording_id"),
             start.alias("start_seconds"), (start + 20.0).alias("end_seconds"),
-            F.when(F.col("event_id") % 41 != 0, F.col("event_id") % 500).alias("vec_id"),
+            F.when(F.col("event_id") % 41 != 0, F.col("event_id") % vectors).alias("vec_id"),
             F.when(F.col("event_id") % 29 != 0, F.col("value") / 1000.0).alias("mean_rms"),
             F.when(F.col("event_id") % 31 != 0, 500.0 + (F.col("event_id") * 37) % 4000).alias("mean_spectral_centroid"),
         )
@@ -228,7 +231,8 @@ class Archive:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return self.view("decisions")
+        """As they come in, invalid ones included; the operators check them."""
+        return self.view("decision_log")
 
 
 @dataclass

@@ -52,6 +52,12 @@ def w2b(a: Archive):
     return W.batch_classified(a.decisions, a.recordings)
 
 
+@plan("P12_rejected_decisions", """SELECT seq, kind, CASE WHEN content_type = 'nonsense' THEN 'invalid content_type' ELSE 'song_take needs song_id' END AS reason
+ FROM decision_log WHERE content_type = 'nonsense' OR (kind = 'classify' AND content_type = 'song_take' AND song_id IS NULL)""")
+def p12(a: Archive):
+    return W.check_decisions(a.decisions)[1].select("seq", "kind", "reason")
+
+
 @plan("W3_assign_song", f"""SELECT r.id, coalesce(l.song_id, r.song_id) AS song_id, CASE WHEN l.seq IS NOT NULL THEN 'song_take' ELSE r.content_type END AS content_type,
  CASE WHEN l.seq IS NOT NULL THEN 'human' ELSE r.content_type_source END AS content_type_source FROM recordings r LEFT JOIN {LAST.format(kind='assign')} l ON l.recording_id = r.id""")
 def w3(a: Archive):

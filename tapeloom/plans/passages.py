@@ -215,14 +215,19 @@ def j21b(a: Archive):
     return J.passages_by_recording(_as_run(blocks(a)), "ssm-k8-t0p5", 5).select("passage_id", "recording_id", "start_seconds")
 
 
-@plan("T4_one_per_recording")
+SAMPLED = ["passage_id", "recording_id", "passage_type", "start_seconds", "end_seconds", "segment_count"]
+
+
+@plan("T4_one_per_recording", f"""SELECT {', '.join(SAMPLED)} FROM (SELECT * FROM passages QUALIFY row_number() OVER (PARTITION BY recording_id
+ ORDER BY md5(concat(passage_id, ':42')), passage_id) = 1) p ORDER BY md5(concat(recording_id, ':42')), recording_id LIMIT 15""")
 def t4(a: Archive):
-    return S.one_per_recording(blocks(a))
+    return S.one_per_recording(blocks(a)).select(*SAMPLED)
 
 
-@plan("T5_similar_passages")
+@plan("T5_similar_passages", f"""SELECT {', '.join(SAMPLED)} FROM passages WHERE passage_type = 2 AND recording_id <> 5
+ ORDER BY md5(concat(passage_id, ':42')), passage_id LIMIT 10""")
 def t5(a: Archive):
-    return S.similar_passages(blocks(a), 2, 5)
+    return S.similar_passages(blocks(a), 2, 5).select(*SAMPLED)
 
 
 @plan("T6_most_segmented", "SELECT recording_id, count(*) AS n_passages FROM passages GROUP BY 1 ORDER BY n_passages DESC, recording_id LIMIT 20")

@@ -12,15 +12,18 @@ from tapeloom.sources.store import top_n
 
 def _candidate_text(c: str):
     return F.coalesce(F.array_join(F.transform(c, lambda s: F.concat_ws(
-        ":", s["rank"].cast("string"), s.candidate_id.cast("string"), s.song_id.cast("string"), s.status)), ","), F.lit(""))
+        ":", s["rank"].cast("string"), s.candidate_id.cast("string"), s.song_id.cast("string"), s.status, s.song_title,
+        s.nearest_recording_id.cast("string"), F.coalesce(s.nearest_audio_path, F.lit("")), F.coalesce(s.nearest_session_date, F.lit("")))), ","), F.lit(""))
 
 
 REVIEW_SQL = """SELECT r.id, r.title, r.origin, r.duration_seconds, s.date AS session_date, r.song_id, g.title AS song_title,
  r.audio_path, r.content_type, r.content_type_source, coalesce(c.candidates, '') AS candidates,
  round(m.mean_rms, 9) AS mean_rms, round(m.centroid, 6) AS mean_spectral_centroid
  FROM {rows} r LEFT JOIN sessions s ON s.id = r.session_id LEFT JOIN songs g ON g.id = r.song_id
- LEFT JOIN (SELECT recording_id, string_agg(concat(rank, ':', id, ':', song_id, ':', status), ',' ORDER BY rank, id) AS candidates
-   FROM candidates WHERE status <> 'rejected' GROUP BY 1) c ON c.recording_id = r.id
+ LEFT JOIN (SELECT recording_id, string_agg(concat(rank, ':', k.id, ':', k.song_id, ':', status, ':', g.title, ':', nearest_recording_id, ':',
+   coalesce(n.audio_path, ''), ':', coalesce(s.date, '')), ',' ORDER BY rank, k.id) AS candidates
+   FROM candidates k JOIN songs g ON g.id = k.song_id LEFT JOIN recordings n ON n.id = nearest_recording_id
+   LEFT JOIN sessions s ON s.id = n.session_id WHERE status <> 'rejected' GROUP BY 1) c ON c.recording_id = r.id
  LEFT JOIN (SELECT recording_id, avg(mean_rms) AS mean_rms, avg(mean_spectral_centroid) AS centroid FROM segments GROUP BY 1) m
    ON m.recording_id = r.id"""
 
@@ -58,7 +61,7 @@ def j1(a: Archive):
 
 
 TAKES_SQL = """SELECT g.id, g.title, g.slug, g.song_type, g.cover_of, CAST(0 AS BIGINT) AS page, count(v.id) AS takes,
- coalesce(string_agg(concat(v.id, ':', v.origin, ':', coalesce(v.session_date, '')), ',' ORDER BY v.id), '') AS recordings
+ coalesce(string_agg(concat(v.id, ':', v.origin, ':', coalesce(v.session_date, '')), ',' ORDER BY v.id) FILTER (WHERE v.id IS NOT NULL), '') AS recordings
  FROM songs g LEFT JOIN (%s) v ON v.song_id = g.id WHERE g.song_type IN (%s) GROUP BY 1, 2, 3, 4, 5 ORDER BY g.title"""
 
 
@@ -247,7 +250,8 @@ def t2(a: Archive):
                  [F.desc("confidence"), F.asc("song_id")], 2)
 
 
-@plan("T3_sample_per_cluster")
+@plan("T3_sample_per_cluster", """SELECT * FROM clusters QUALIFY row_number() OVER (PARTITION BY cluster_id
+ ORDER BY md5(concat(segment_id, ':42')), segment_id) <= 5""")
 def t3(a: Archive):
     return S.sample_per_group(a.clusters, "cluster_id", "segment_id", 5)
 

@@ -43,7 +43,7 @@ def st2(a: Archive):
 @plan("ST3_decision_stream")
 def st3(a: Archive):
     out = _fresh(a)
-    stream = a.view("decisions", orders=ST.read_table_stream(a.spark, a.folder, "orders")).filter(F.col("kind").isin(ALL))
+    stream = a.view("decision_log", orders=ST.read_table_stream(a.spark, a.folder, "orders")).filter(F.col("kind").isin(ALL))
     ST.run_decisions(stream, a.recordings, a.sessions, a.songs, a.candidates, out, f"{out}/checkpoint")
     recs = ST.newest_version(a.spark, out, "recordings")
     fresh = ST.newest_version(a.spark, out, "songs").filter("title LIKE 'Jam — %'").select(F.col("id").alias("song_id"), F.lit("new jam").alias("_new"))
