@@ -218,3 +218,58 @@ def test_likely_copies_equal_brute_force(spark):
 
     want = {(d, a, b, edits(a, b)) for s, d, a in rows if s == "x" for t, e, b in rows if t == "y" and d == e and edits(a, b) <= 2}
     assert {tuple(r) for r in D.likely_copies(df, ("x", "y"), 2).collect()} == want
+
+
+def test_slugs_of_bases_that_differ_by_a_number(spark):
+    r = random.Random(9)
+    bases = ["tema", "tema-1", "tema-1-1", "tema-2", "altre"]
+    for taken in ([], ["tema", "tema-1-1"], ["tema-2"]):
+        rows = [(i, r.choice(bases)) for i in range(24)]
+        songs = spark.createDataFrame([(i, s) for i, s in enumerate(taken)], "id long, slug string")
+        used, want = set(taken), {}
+        for i, b in rows:
+            slug, n = b, 1
+            while slug in used:
+                slug, n = f"{b}-{n}", n + 1
+            used.add(slug)
+            want[i] = slug
+        got = W.unique_slugs(spark.createDataFrame(rows, "seq long, base string"), "base", "seq", songs).collect()
+        assert {x.seq: x.slug for x in got} == want and len(set(want.values())) == len(want)
+
+
+def test_invalid_decisions_change_nothing(spark):
+    recs = spark.createDataFrame([(1, 7, "song_take", "ingest"), (2, None, None, None)], "id long, song_id long, content_type string, content_type_source string")
+    cols = "seq long, kind string, recording_id long, song_id long, candidate_id long, content_type string, split_at double, at string"
+    bad = [(1, "classify", 1, None, None, "nonsense", None, "t"), (2, "classify", 1, None, None, "song_take", None, "t"),
+           (3, "batch_classify", 2, None, None, None, None, "t"), (4, "classify", 2, None, None, "banter", None, "t")]
+    decisions = spark.createDataFrame(bad, cols)
+    none = spark.createDataFrame([], "id long, recording_id long, song_id long, status string, reviewed_at string")
+    jams = spark.createDataFrame([], "seq long, recording_id long, id long")
+    got = {r.id: tuple(r) for r in W.apply_to_recordings(recs, decisions, none, jams).collect()}
+    assert got == {1: (1, 7, "song_take", "ingest"), 2: (2, None, "banter", "human")}
+    assert {r.seq: r.reason for r in W.check_decisions(decisions)[1].collect()} == {
+        1: "invalid content_type", 2: "song_take needs song_id", 3: "invalid content_type"}
+    assert W.decision_jams(decisions, recs, none).count() == 0
+
+
+def test_a_recording_with_many_candidates_is_one_review_row(spark):
+    from tapeloom.operators import lookups as J
+
+    recs = spark.createDataFrame([(1, "a", "vad_segment", 3.0, None, None, "x/1.mp3", None, None), (2, "b", "vad_segment", 3.0, 5, None, "x/2.mp3", None, None)],
+                                 "id long, title string, origin string, duration_seconds double, session_id long, song_id long, audio_path string, content_type string, content_type_source string")
+    sessions = spark.createDataFrame([(5, "2020-01-02")], "id long, date string")
+    songs = spark.createDataFrame([(3, "Tune")], "id long, title string")
+    many = spark.createDataFrame([(i, 1, 3, 0.5, i + 1, "pending", 2) for i in range(2500)],
+                                 "id long, recording_id long, song_id long, confidence double, rank long, status string, nearest_recording_id long")
+    segments = spark.createDataFrame([(1, 0.1, 2.0)], "recording_id long, mean_rms double, mean_spectral_centroid double")
+    rows = {r.id: r for r in J.review_rows(recs, sessions, songs, many, segments).collect()}
+    assert len(rows) == 2 and len(rows[1].candidates) == 2500 and rows[2].candidates is None
+    first = rows[1].candidates[0]
+    assert (first["rank"], first.song_title, first.nearest_recording_id, first.nearest_audio_path, first.nearest_session_date) == (1, "Tune", 2, "x/2.mp3", "2020-01-02")
+
+
+def test_jam_titles_of_any_date_length(spark):
+    songs = spark.createDataFrame([(1, "Jam — 2015", "a", "jam"), (2, "jam — 2015 #2", "b", "jam")], "id long, title string, slug string, song_type string")
+    rows = spark.createDataFrame([(1, "2015"), (2, "2015"), (3, None), (4, "2016-01")], "seq long, session_date string")
+    got = {r.seq: r.title for r in W.jam_titles(rows, "session_date", "seq", songs).collect()}
+    assert got == {1: "Jam — 2015 #3", 2: "Jam — 2015 #4", 3: "Jam — unknown", 4: "Jam — 2016-01"}
