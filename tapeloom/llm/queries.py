@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from zlib import crc32
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,23 +43,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_counts(table(spark, sf_dir, "documents"), default_vocabulary(), end_id=49408)
 
 
-def with_crc(df: DataFrame, ids: str) -> DataFrame:
-    """The binary column ``ids`` replaced by ``ids_crc32``."""
-    keep = [c for c in df.columns if c != ids]
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep) + ", ids_crc32 bigint"
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = [crc32(x.as_buffer()) for x in batch.column(ids)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(crc, pa.int64())], names=[*keep, "ids_crc32"])
-
-    return df.mapInArrow(run, schema)
-
-
 @query
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = pack_documents(table(spark, sf_dir, "documents"), default_vocabulary(), capacity=2048, end_id=0)
-    return with_crc(placed, "ids").select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return placed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query
