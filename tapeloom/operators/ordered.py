@@ -24,6 +24,12 @@ def _chunked(df: DataFrame, order: str, width: float) -> DataFrame:
     return df.withColumn("_chunk", F.floor(F.col(order) / F.lit(width)).cast("long"))
 
 
+def _spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Chunks of a key to tasks of their own. Rows that already lie by key would satisfy a window over (key, chunk) as
+    they are, and a key with a third of all rows would be sorted in one task."""
+    return rows.repartition(*keys, "_chunk")
+
+
 def ordinal(
     df: DataFrame, keys: list[str], order: str, tie: str, width: float,
     out: str = "idx", total: str | None = None,
@@ -40,7 +46,7 @@ def ordinal(
         offsets = offsets.withColumn(total, F.sum("_rows").over(Window.partitionBy(*keys)))
     inside = Window.partitionBy(*keys, "_chunk").orderBy(order, tie)
     return (
-        rows.withColumn("_local", F.row_number().over(inside) - 1)
+        _spread(rows, keys).withColumn("_local", F.row_number().over(inside) - 1)
         .join(offsets.drop("_rows"), [*keys, "_chunk"])
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("long"))
         .drop("_before", "_local", "_chunk")
@@ -63,7 +69,7 @@ def running_total(
         Window.partitionBy(*keys, "_chunk").orderBy(order, tie)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = rows.withColumn("_local", F.sum("_v").over(inside))
+    local = _spread(rows, keys).withColumn("_local", F.sum("_v").over(inside))
     if totals_from is not None:
         # A chunk may have no row in the smaller table, so name the chunks that follow it.
         chunks = df.groupBy(*keys).agg(F.max(F.floor(F.col(order) / F.lit(width))).cast("long").alias("_last"))
@@ -82,7 +88,7 @@ def adjacent(
     df: DataFrame, keys: list[str], idx: str, cols: list[str], out: str, ahead: bool = False, size: int = CHUNK_ROWS
 ) -> DataFrame:
     """Struct of ``cols`` of the row at the previous (or next) position; positions have no gaps."""
-    rows = with_halo(df, idx, 0 if ahead else 1, 1 if ahead else 0, size)
+    rows = _spread(with_halo(df, idx, 0 if ahead else 1, 1 if ahead else 0, size), keys)
     w = Window.partitionBy(*keys, "_chunk").orderBy(F.desc(idx) if ahead else F.asc(idx))
     return rows.withColumn(out, F.lag(F.struct(*cols)).over(w)).filter("_core").drop("_chunk", "_core")
 
@@ -102,7 +108,7 @@ def neighbour(
     else:
         inside = Window.partitionBy(*keys, "_chunk").orderBy(order, tie)
     return (
-        rows.withColumn("_inside", F.lag("_pick").over(inside))
+        _spread(rows, keys).withColumn("_inside", F.lag("_pick").over(inside))
         .join(edges, [*keys, "_chunk"])
         .withColumn(out, F.coalesce("_inside", "_outside"))
         .drop("_pick", "_inside", "_outside", "_chunk")
@@ -124,7 +130,7 @@ def carry_forward(
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        rows.withColumn("_inside", F.last("_v", ignorenulls=True).over(inside))
+        _spread(rows, keys).withColumn("_inside", F.last("_v", ignorenulls=True).over(inside))
         .join(lasts, [*keys, "_chunk"])
         .withColumn(out, F.coalesce("_inside", "_outside"))
         .drop("_v", "_inside", "_outside", "_chunk")

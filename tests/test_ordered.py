@@ -79,3 +79,24 @@ def test_quantiles_match_numpy(spark):
     assert np.allclose([one[c] for c in "abcde"], np.percentile(big, [0, 50, 70, 99.5, 100]))
     at = values_at(df.filter("k = 1"), ["k"], "x", {"p": (0.9, F.floor(F.col("_n") * F.lit(0.9)))}).head().p
     assert at == sorted(x for k, x in data if k == 1)[int(501 * 0.9)]
+
+
+def test_chunks_of_a_hot_key_leave_its_task(spark):
+    """Rows that lie by key, as after a join without broadcast: windows must still run per chunk, in several tasks."""
+    off = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for name, value in off.items():
+        spark.conf.set(name, value)
+    try:
+        rows = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), F.col("id").cast("double").alias("t"), "id")
+        by_key = rows.repartition("k")
+        out = O.ordinal(by_key, ["k"], "t", "id", 4096.0)
+        hot = out.filter("k = 0").groupBy(F.spark_partition_id().alias("p")).agg(
+            F.count(F.lit(1)).alias("n"), F.max("idx").alias("last")).collect()
+        assert len(hot) > 1 and sum(r.n for r in hot) == 13_334 and max(r.last for r in hot) == 13_333
+        for made in (O.running_total(by_key, ["k"], "t", "id", F.lit(1), 4096.0, "s"), O.neighbour(by_key, ["k"], "t", "id", ["id"], 4096.0, "n"),
+                     O.carry_forward(by_key, ["k"], "t", "id", F.col("id"), 4096.0, "c"), O.adjacent(out, ["k"], "idx", ["id"], "a")):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "_chunk" in plan and "REPARTITION_BY_COL" in plan
+    finally:
+        for name in off:
+            spark.conf.unset(name)
