@@ -124,7 +124,8 @@ def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, filt
 
     seen = store(rows.mapInArrow(suspects, "doc_id bigint, digest binary"), "suspect-lines")
     known = seen.groupBy("digest").agg(F.count_distinct("doc_id").alias("_n"), F.max("doc_id").alias("_keep"))
-    known = known.where(F.col("_n") >= min_docs).select("digest", "_keep")
+    # written, so that both sides of the join are plain reads and a digest of very many documents can be split
+    known = store(known.where(F.col("_n") >= min_docs).select("digest", "_keep"), "shared-lines")
     return seen.join(known, "digest").where("doc_id < _keep").select("doc_id", "digest")
 
 
