@@ -12,16 +12,21 @@ def _downward(links: DataFrame) -> DataFrame:
     return links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
 
+def _written(least: DataFrame) -> DataFrame:
+    """A plain read on this side of a join lets a hub's rows on the other be split."""
+    return store(least, "least")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node now hangs on the smallest node around."""
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
+    least = _written(both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m")))
     return _downward(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and its smaller neighbours hang on the smallest of them."""
-    least = links.groupBy("u").agg(F.min("v").alias("_m"))
+    least = _written(links.groupBy("u").agg(F.min("v").alias("_m")))
     moved = links.join(least, "u").where("v <> _m").select(F.col("v").alias("u"), F.col("_m").alias("v"))
     return _downward(moved.unionByName(least.select("u", F.col("_m").alias("v"))))
 
