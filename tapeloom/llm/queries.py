@@ -53,7 +53,8 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "tokens")
     write_token_files(table(spark, sf_dir, "documents"), folder, default_vocabulary(), end_id=2)
-    read = id_digests(token_starts(open_token_files(spark, folder)))
+    files = open_token_files(spark, folder)
+    read = token_starts(files, id_digests(files))
     return read.select("doc_id", "start", F.col("n_read").alias("n_tokens"), "ids_crc32")
 
 

@@ -85,15 +85,16 @@ def open_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(FILE_SCHEMA).parquet(folder)
 
 
-def token_starts(files: DataFrame) -> DataFrame:
-    """``doc_id, part, begin, start``: ids of all documents before each, from the narrow columns.
+def token_starts(files: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``rows`` (``files`` or what was made of them, with ``part`` and ``begin``) with ``start``: ids of all documents before.
 
-    One row for each file's part is summed up in order; documents themselves need no common order.
+    Narrow columns of the files are summed to one row for each part, and these in order; documents need no common order.
     """
     parts = files.groupBy("part").agg(F.max(F.col("begin") + F.col("n_tokens")).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     parts = parts.select("part", F.coalesce(before, F.lit(0)).alias("_before"))
-    return files.join(parts, "part").withColumn("start", F.col("_before") + F.col("begin")).drop("_before")
+    rows = files if rows is None else rows
+    return rows.join(parts, "part").withColumn("start", F.col("_before") + F.col("begin")).drop("_before")
 
 
 def id_digests(files: DataFrame) -> DataFrame:
