@@ -174,10 +174,10 @@ def fingerprint_text(fp) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (a null one last), then of the smallest text hash."""
     last = F.lit((1 << 63) - 1)
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     kept = found.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("hash").alias("_hash"))).alias("_k"))
     kept = kept.select("_k._id", "_k._hash")
     own = {"_id": F.coalesce(F.col(id_col).cast("long"), last), "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
