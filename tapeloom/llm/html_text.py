@@ -4,7 +4,7 @@ A page becomes its blocks in order, each with the path of block tags from the ro
 article (scripts, forms, navigation and so on) are left out by tag, role and the words of class and id. For each tag
 path of the page, text outside links and punctuation are summed up and divided by the path's blocks; both ratios are
 given to the path's blocks, smoothed over neighbours in page order, and fused. Blocks above the threshold are content;
-the smallest element that holds nearly all of it is the article, and all its text stays but paths that are mostly links
+the smallest element that holds all of them is the article, and all its text stays but paths that are mostly links
 and lie below the threshold. A short paragraph thus stays with its path and its article.
 
 Cases: null or empty html, or a page without text, gives an empty text. Unclosed and stray tags are closed as a browser
@@ -150,15 +150,13 @@ def main_text(html: str) -> str:
     scores = tag_path_scores(blocks)
     bar = min(scores.mean(), scores.max() / 2)
     content = scores >= bar
-    size = np.array([len(b[2]) for b in blocks], float)
-    weight: dict[int, float] = {}
+    held: dict[int, int] = {}
     depth: dict[int, int] = {}
-    for block, n in zip(blocks, size * content):
+    for block, ok in zip(blocks, content):
         for d, element in enumerate(block[1]):
-            weight[element] = weight.get(element, 0.0) + n
+            held[element] = held.get(element, 0) + int(ok)
             depth[element] = d
-    enough = 0.9 * float((size * content).sum())
-    fits = [(depth[e], e) for e, w in weight.items() if w >= enough]
+    fits = [(depth[e], e) for e, n in held.items() if n == content.sum()]
     # a lone paragraph is no article: its parent is
     leaf = {b[1][-1] for b in blocks if b[1]}
     inner = [x for x in fits if x[1] not in leaf] or fits

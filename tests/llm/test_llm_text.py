@@ -202,6 +202,15 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    (f"<body><article><h1>Title</h1><p class=lead>{LONG}</p><div class=body>{'<p>' + LONG + '</p>'}{('<p>' + LONG + LONG + '</p>') * 20}</div><p>{LONG} End.</p>"
+     "</article></body>", ["Title", LONG, LONG, *[LONG + LONG] * 20, f"{LONG} End."]),
+    (f"<article><section>{('<p>' + LONG + '</p>') * 40}</section><section><p>{LONG} Two.</p></section></article>", [LONG] * 40 + [f"{LONG} Two."]),
+])
+def test_no_content_outside_the_longest_part_is_lost(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "<p>" * 20_000 + "deep", "x"), (2, "u", "<p>a, b.</p>" * 20_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
