@@ -1,12 +1,14 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes its blocks in order, each with the path of block tags from the root. Parts that are never text of an
-article (scripts, forms, navigation and so on) are left out by tag, role and the words of class and id. For each tag
-path of the page, text outside links and punctuation are summed up and divided by the path's blocks; both ratios are
+article (scripts, forms, navigation and so on) are left out by tag and role. For each tag path of the page, text outside links and punctuation are summed up and divided by the path's blocks; both ratios are
 given to the path's blocks, smoothed over neighbours in page order, and fused. Blocks above the threshold are content;
 the smallest element that holds all of them is the article, and all its text stays but paths that are mostly links
 and lie below the threshold. A short paragraph thus stays with its path and its article.
 
+Words of class and id only lower the score of what lies below: ``HINTED`` for a name made of such words alone, less within an
+article or for a part of a name, not at all for ``no-sidebar`` and the like or around the article (a page without one: around most text).
+
 Cases: null or empty html, or a page without text, gives an empty text. Unclosed and stray tags are closed as a browser
 would, roughly. A broken reference stays as written. Rows with equal or null id are read each by itself; an empty table
 gives an empty one. Only id, url and html are read.
@@ -42,6 +44,8 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
                   "modal newsletter subscribe subscription signup share sharing social related recommended footer masthead widget toolbar "
                   "pagination pager login skip".split())
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？\"'()«»„“”")
+NEGATED = frozenset("has no with without enabled disabled".split())
+HINTED, WITHIN = 0.25, 0.6  # factor of the score below a hint, and that within an article or for a part of a name
 TEXT = "page_id bigint, url string, text string"
 
 
@@ -52,6 +56,8 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, int, bool]] = []  # tag, number of the element, left out
         self.blocks: list[tuple[str, tuple[int, ...], str, int]] = []
+        self.hints: dict[int, float] = {}  # elements with a hint
+        self.around: set[int] | None = None  # elements around an article, if there is one
         self.text: list[str] = []
         self.linked = self.links = self.elements = 0
 
@@ -68,10 +74,20 @@ class _Page(HTMLParser):
             return True
         if tag in ("html", "body", "article", "main"):
             return False
-        marks = " ".join(attrs.get(k) or "" for k in ("class", "id"))
         style = (attrs.get("style") or "").replace(" ", "").lower()
         return ((attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
-                or "display:none" in style or not HINTS.isdisjoint(re.findall(r"[a-z]+", marks.lower())))
+                or "display:none" in style)
+
+    def _hint(self, tag: str, attrs: dict[str, str | None]) -> float:
+        """Factor for the score of what lies below the element."""
+        if tag in ("html", "body", "article", "main") or tag in INLINE:
+            return 1.0
+        names = [re.findall(r"[a-z]+", x) for k in ("class", "id") for x in (attrs.get(k) or "").lower().split()]
+        names = [n for n in names if not HINTS.isdisjoint(n) and NEGATED.isdisjoint(n)]
+        if not names:
+            return 1.0
+        inside = any(s[0] in ("article", "main") for s in self.stack)
+        return HINTED if not inside and any(HINTS.issuperset(n) for n in names) else WITHIN
 
     def _pop(self, at: int) -> None:
         if any(s[0] not in INLINE for s in self.stack[at:]):
@@ -105,6 +121,11 @@ class _Page(HTMLParser):
         self.elements += 1
         out = bool(self.stack and self.stack[-1][2]) or self._out(tag, dict(attrs))
         self.stack.append((tag, self.elements, out))
+        if not out and tag in ("article", "main"):
+            self.around = (self.around or set()) | {s[1] for s in self.stack}
+        factor = 1.0 if out else self._hint(tag, dict(attrs))
+        if factor < 1:
+            self.hints[self.elements] = factor
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -147,9 +168,20 @@ def main_text(html: str) -> str:
     blocks = page.blocks
     if not blocks:
         return ""
-    scores = tag_path_scores(blocks)
+    scores, hinted = tag_path_scores(blocks), np.ones(len(blocks))
+    if page.hints:
+        plain = [max(0, len(b[2]) - b[3]) for b in blocks]
+        below: dict[int, int] = {}
+        for block, n in zip(blocks, plain):
+            for element in block[1]:
+                if element in page.hints:
+                    below[element] = below.get(element, 0) + n
+        around = page.around if page.around is not None else {e for e, n in below.items() if 2 * n > sum(plain)}
+        hinted = np.array([min((page.hints[e] for e in b[1] if e in page.hints and e not in around), default=1.0) for b in blocks])
+        scores = scores * hinted
     bar = min(scores.mean(), scores.max() / 2)
     content = scores >= bar
+    alive = {e for b, ok in zip(blocks, content) if ok for e in b[1] if e in page.hints}  # hinted, yet with content
     held: dict[int, int] = {}
     depth: dict[int, int] = {}
     for block, ok in zip(blocks, content):
@@ -161,7 +193,7 @@ def main_text(html: str) -> str:
     leaf = {b[1][-1] for b in blocks if b[1]}
     inner = [x for x in fits if x[1] not in leaf] or fits
     root = max(inner)[1] if inner else None
-    keep = [b[2] for b, ok in zip(blocks, content) if (root is None or root in b[1]) and (ok or b[3] <= len(b[2]) / 2)]
+    keep = [b[2] for b, ok in zip(blocks, content) if (root is None or root in b[1]) and (ok or (b[3] <= len(b[2]) / 2 and page.hints.keys() & b[1] <= alive))]
     return "\n".join(keep)
 
 

@@ -211,6 +211,23 @@ def test_no_content_outside_the_longest_part_is_lost(page, want):
     assert html_text.main_text(page).split("\n") == want
 
 
+BODY = f"<article><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></article>"
+
+
+@pytest.mark.parametrize("wrapper", ["id=page class='site has-sidebar'", "class='content no-sidebar'", "class=with-comments", "class=share-enabled",
+                                     "class=widget", "id=sidebar-content"])
+def test_names_of_wrappers_lose_nothing(wrapper):
+    page = f"<body><div class=menu><a href=/>Home</a></div><div {wrapper}>{BODY}</div><div class=comments><p>{LONG} Nice.</p></div>"
+    assert html_text.main_text(page) == f"Title\n{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["id=related-work", "id=notice", "class=social-policy", "class='section comments'"])
+def test_names_of_sections_lose_nothing(name):
+    page = f"<article><h1>Title</h1><p>{LONG}</p><section {name}><h2>Part</h2><p>{LONG} Part.</p></section><p>{LONG}</p><div class=share>Share!</div></article>"
+    got = html_text.main_text(page).split("\n")
+    assert f"{LONG} Part." in got and "Part" in got and got.count(LONG) == 2 and "Share!" not in got
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "<p>" * 20_000 + "deep", "x"), (2, "u", "<p>a, b.</p>" * 20_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
