@@ -3,8 +3,9 @@
 Templates are short notices. Document frequencies of their words are counted over the whole corpus; each template is
 indexed under the rarest words of its mandatory phrase, with their places in it. A text's occurrences of indexed words
 give, by relative position, where a template would start; templates whose words agree on a start are verified there:
-the mandatory phrase must stand word for word, and the share of the template's words in place is the score. Any text
-that holds a mandatory phrase holds its rarest words, so no notice is missed, and nothing is capped.
+the mandatory phrase must stand word for word, and the share of the template's words in place is the score. The phrase
+gives the label, whatever else stands around it; only phrases of ``SHARED``, which other licences use too, need half of
+their template in place. Any text that holds a mandatory phrase holds its rarest words, so no notice is missed, and nothing is capped.
 
 Cases: a null or empty text has no words and no labels. Rows with equal or null id are judged each by its own text. An
 empty table gives an empty one. Ties of frequency are broken by the word. Other columns are not carried.
@@ -62,7 +63,9 @@ TEMPLATES = [
      "any express or implied warranty in no event will the authors be held liable for any damages"),
 ]
 RARE_WORDS = 2  # of a mandatory phrase, that a template is indexed under
-LABEL_SCORE = 0.5  # share of a template's words in place that a label of the method needs
+# Phrases that do not tell the licence alone, and the share of the template's words in place that their label needs.
+SHARED = frozenset(["in compliance with the license", "permission is hereby granted free of charge"])
+LABEL_SCORE = 0.5
 FOUND = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
 
 
@@ -100,7 +103,7 @@ class Index:
         for n, (label, phrase, notice) in enumerate(TEMPLATES):
             words, must = notice.encode().split(), phrase.encode().split()
             at = next(i for i in range(len(words)) if words[i:i + len(must)] == must)
-            self.templates.append((label, words, must, at))
+            self.templates.append((label, words, must, at, LABEL_SCORE if phrase in SHARED else 0.0))
             idf = {w: math.log((1 + rows) / (1 + frequencies.get(w, 0))) for w in must}
             for w in sorted(idf, key=lambda w: (-idf[w], w))[:RARE_WORDS]:
                 self.postings.setdefault(w, []).extend((n, i) for i in range(at, at + len(must)) if words[i] == w)
@@ -119,11 +122,11 @@ class Index:
                 for n, at in self.postings.get(w, ()):
                     starts.add((n, i - at))
         for n, s in starts:
-            label, notice, must, at = self.templates[n]
+            label, notice, must, at, least = self.templates[n]
             if s + at >= 0 and words[s + at:s + at + len(must)] == must:
                 share = sum(s + i >= 0 and words[s + i:s + i + 1] == [x] for i, x in enumerate(notice)) / len(notice)
                 score = max(score, share)
-                if share >= LABEL_SCORE:
+                if share >= least:
                     labels.add(label)
         return places, base, labels, score
 

@@ -268,6 +268,19 @@ def test_every_template_is_found_whatever_the_frequencies(spark):
             assert licenses.Index({}, 5).scan(licenses.words_of(phrase))[3] > 0
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Licensed under the Mozilla Public License 2.0", "mpl"), ("Licensed under the Eclipse Public License", "epl"), ("BSD License", "bsd"),
+    ("GNU Affero General Public License v3", "agpl"), ("Apache License 2.0", "apache"), ("Boost Software License", "boost"), ("CC BY 4.0", "cc-by"),
+    ("CC BY-NC", "cc-by-nc"), ("CC BY-ND", "cc-by-nd"), ("CC BY-SA", "cc-by-sa"), ("CC0 1.0", "cc0"), ("the GNU General Public License", "gpl"),
+    ("Permission to use, copy, modify, and/or distribute this software", "isc"), ("GNU Lesser General Public License", "lgpl"), ("MIT License", "mit"),
+    ("Redistribution and use in source and binary forms, with changes", "bsd"), ("free and unencumbered software", "unlicense"),
+    ("This software is provided 'as-is', without any express or implied warranty", "zlib"),
+])
+def test_short_forms_get_their_label(text, want):
+    assert want in licenses.Index({}, 5).scan(licenses.words_of(f"See: {text}."))[2]
+    assert "apache" not in licenses.Index({}, 5).scan(licenses.words_of("used in compliance with the license"))[2]
+
+
 def test_licenses_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "MIT license " * 50_000), (None, "the GNU General\nPublic License"), (3, "é漢 mit-license"), (3, "é漢 mit-license")]
     got = sorted((str(r["doc_id"]), *tuple(r)[1:6]) for r in licenses.scan_licenses(frame(spark, rows)).collect())
