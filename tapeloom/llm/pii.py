@@ -46,12 +46,14 @@ GENERATORS = [
     ("email", SPELLED, re.compile(r"[\w.+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}| at ) ?[\w-]{1,64}(?: ?(?:\(dot\)|\[dot\]|\{dot\}| dot |\.) ?[A-Za-z-]{2,24}){1,4}")),
     ("ip", DIGITS, re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9])")),
     ("ip", DIGITS, re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:{1,2}){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
+    ("ip", ("::",), re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")),
     ("card", DIGITS, re.compile(r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9])")),
-    ("phone", DIGITS, re.compile(r"(?<![0-9+])(?:\+|00)?\(?[0-9]{1,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,5}\)?){1,5}(?![0-9])")),
+    ("phone", DIGITS, re.compile(r"(?<![0-9+])(?:\+|00)?\(?[0-9]{1,5}\)?(?:[ ./-]{1,2}\(?[0-9]{2,12}\)?){1,5}(?![0-9])")),
     ("account", DIGITS, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("account", DIGITS, re.compile(r"(?<![0-9])[0-9]{9,24}(?![0-9])")),
-    ("secret", DIGITS, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,64}[0-9])[A-Za-z0-9+/_=-]{16,512}(?![A-Za-z0-9+/_=-])")),
+    ("secret", DIGITS, re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+")),
 ]
+PHONE_DIGITS, LAST_GROUP = 17, re.compile(r"[ ./-]{1,2}\(?[0-9]{2,12}\)?$")  # fifteen and 00
 # Words before a value that speak for a kind (or against all).
 HINTS = [("mail", "email", "contact", "write"), ("ip", "host", "server", "address"), ("card", "visa", "credit", "payment"),
          ("phone", "tel", "call", "mobile", "fax"), ("account", "iban", "konto", "number", "no"),
@@ -95,8 +97,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans of all generators, overlaps included."""
+    def whole(kind: str, m: re.Match) -> tuple[str, int, int]:
+        """The span; of a chain of groups with more digits than a phone number has, its first groups."""
+        a, b = m.span()
+        if kind == "phone":
+            while sum(c in DIGITS for c in text[a:b]) > PHONE_DIGITS and (g := LAST_GROUP.search(text, a, b)) and g.start() > a:
+                b = g.start()
+        return kind, a, b
+
     digits = any(c in text for c in DIGITS)
-    return [(kind, *m.span()) for kind, needs, pattern in GENERATORS
+    return [whole(kind, m) for kind, needs, pattern in GENERATORS
             if (digits if needs is DIGITS else any(x in text for x in needs)) for m in pattern.finditer(text)]
 
 
@@ -148,6 +158,9 @@ def _values(r: random.Random) -> tuple[str | None, str]:
         ("account", digits(16)), ("account", r.choice(["DE", "ES", "FR"]) + digits(2) + "".join(" " + digits(4) for _ in range(4)) + " " + digits(2)),
         ("phone", f"({a}) {b}-{d}"), ("phone", f"+{r.randint(1, 99)} {a} {b} {d}"), ("phone", f"{a}-{b}-{d}"), ("phone", f"+1 ({a}) {b}-{d}"),
         ("phone", f"00{r.randint(30, 49)} {a} {b}{d}"), ("secret", hexes), ("secret", made), ("secret", f"sk_{word(4, 4)}_{made}"),
+        ("phone", f"0{digits(2)} {digits(8)}"), ("phone", f"(0{digits(2)}) {digits(7)}"), ("phone", f"{a}-{digits(7)}"), ("phone", f"0{digits(3)}/{digits(7)}"),
+        ("ip", f"{hexes[:4]}:{hexes[4:8]}::{hexes[8:8 + r.randint(1, 4)]}"), ("ip", f"fe80::{hexes[:r.randint(1, 4)]}"), ("secret", made * r.randint(12, 30)),
+        (None, f"{word()}::{word()}"), (None, f"{r.choice('abcdef')}::{r.choice('abcdef')}"), (None, f"{r.randint(1, 99)} {digits(7)}"),
         (None, f"{r.randint(1900, 2099)}-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}"), (None, f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1900, 2099)}"),
         (None, f"{r.randint(0, 23):02d}:{r.randint(0, 59):02d}:{r.randint(0, 59):02d}"), (None, f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 99)}"),
         (None, f"{r.randint(1900, 2050)}-{r.randint(1900, 2099)}"), (None, f"978-{r.randint(0, 9)}-{c}-{digits(5)}-{r.randint(0, 9)}"),

@@ -160,6 +160,27 @@ def test_trees_on_held_out_values():
     assert pii.redact("a 1.2.3.4 b", [("ip", 2, 9, True, 1.0)]) == "a [ip] b"
 
 
+def test_every_written_value_is_proposed_whole_and_most_are_found():
+    r = random.Random(11)
+    for kind, text in (*(("phone", t) for t in ("030 12345678", "(030) 1234567", "555-1234567", "0171/1234567", "0044 123 4561234")), ("ip", "2001:db8::1"), ("ip", "fe80::1"), ("secret", "ab1" * 400), ("secret", "a" * 100 + "1" * 20)):
+        assert (kind, 3, 3 + len(text)) in pii.candidates(f"so {text} it")
+    contexts = ["the and of thion enter that was here for with onto ther"] * 500
+    x, y, kinds = pii.training_rows(contexts, seed=1)
+    model = boosting.fit_boosted(x, y)
+    p, held = model.probability(x), np.arange(len(y)) % 3 == 2
+    cuts = {k: max(0.5, boosting.cut_for_precision(p[held & (np.array(kinds) == k)], y[held & (np.array(kinds) == k)], 0.98)) for k in pii.KINDS}
+    written = found = 0
+    for _ in range(1500):
+        kind, value = pii._values(r)
+        if kind:
+            text = f"the and of {value} enter that was"
+            spans = {(a, b) for _, a, b in pii.candidates(text)}
+            assert (11, 11 + len(value)) in spans, value
+            written += 1
+            found += any(a <= 11 and b >= 11 + len(value) for _, a, b, *_ in pii.find_spans(text, model, cuts))
+    assert found >= 0.8 * written, (found, written)
+
+
 def test_pii_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a@b.co " * 20_000), (4, "x" * 200_000), (None, "call +1 (555) 010-9999"), (3, "a@b.co"), (3, "a@b.co")]
     got = pii.personal_data(frame(spark, rows)).collect()
