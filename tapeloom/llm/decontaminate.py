@@ -5,7 +5,7 @@ points may differ by ``k = error_rate * n`` edits. It is split into ``k + 1`` pi
 unchanged in any match. All pieces are found in one pass over a text by an automaton; around each hit the item is
 verified with Myers' bit-parallel edit distance, over the stretch that the hits of one item span together.
 
-The benchmark is a stated query set: it is cut by a hash of its id into blocks of about ``BLOCK_CHARS`` code points,
+The benchmark is a stated query set: it is cut by a hash of id and text into blocks of about ``BLOCK_CHARS`` code points,
 and each block is held against all rows, whose texts do not move.
 
 Cases: a null or empty item, or one without letters and digits, matches nothing; an item too short for an edit must
@@ -121,7 +121,7 @@ def _blocks(benchmark: DataFrame, block_chars: int):
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
         yield [(r["item_id"], r["text"]) for r in own.collect()]  # one block: block_chars bounds it
 
 

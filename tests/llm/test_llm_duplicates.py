@@ -222,3 +222,9 @@ def test_empty_tables(spark):
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
     bench = spark.createDataFrame([(1, "some benchmark item")], "item_id long, text string")
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.drop_leaking(none, bench).count() == 0
+
+
+def test_items_of_one_id_fall_into_many_blocks(spark):
+    items = spark.createDataFrame([(None if i % 2 else 7, f"item number {i:04d} of many") for i in range(400)], "item_id long, text string")
+    blocks = list(decontaminate._blocks(items, 1000))
+    assert sum(map(len, blocks)) == 400 and max(sum(len(t) for _, t in b) for b in blocks) <= 2500
