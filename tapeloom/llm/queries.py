@@ -16,6 +16,7 @@ from tapeloom.llm.packing import pack_documents
 from tapeloom.llm.pii import personal_data
 from tapeloom.llm.quality_rules import RATIOS, fit, judge
 from tapeloom.llm.simhash import fingerprint_text, near_duplicates
+from tapeloom.llm.spelling import group_spellings
 from tapeloom.llm.token_files import id_digests, open_token_files, token_starts, write_token_files
 from tapeloom.llm.token_scan import document_counts
 from tapeloom.llm.tokens import default_vocabulary
@@ -110,3 +111,8 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each document and benchmark item found in it; other documents have none."""
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
