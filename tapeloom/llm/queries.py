@@ -15,6 +15,7 @@ from tapeloom.llm.line_dedup import drop_repeated_lines
 from tapeloom.llm.packing import pack_documents
 from tapeloom.llm.pii import personal_data
 from tapeloom.llm.quality_rules import RATIOS, fit, judge
+from tapeloom.llm.resampling import resample
 from tapeloom.llm.simhash import fingerprint_text, near_duplicates
 from tapeloom.llm.spelling import group_spellings
 from tapeloom.llm.token_files import id_digests, open_token_files, token_starts, write_token_files
@@ -116,3 +117,9 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
