@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.llm.brown import score_texts
 from tapeloom.llm.common import new_folder, table
 from tapeloom.llm.decontaminate import find_leaks
 from tapeloom.llm.html_text import extract_text
@@ -123,3 +124,8 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_importance_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query
+def op13_class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
