@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,87 +14,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.vectors import dot, l2_normalize, norm
+from tapeloom.operators.neighbours import PIVOTS, best_groups, update_groups
 from tapeloom.operators.ordered import CHUNK_ROWS, map_groups, matrix, ordinal, unit_rows, with_halo
 from tapeloom.operators.quantiles import exact_quantiles
 from tapeloom.session import cut_lineage
-from tapeloom.sources.store import top_n
 
-BLOCK_ROWS = 8192
-STRIP_ROWS = 512
 TIE_DECIMALS = 9
 
 
-def _blocks(rows: int, size: int) -> int:
-    return max(1, math.ceil(rows / size))
-
-
-def _grid_join(left: DataFrame, right: DataFrame, fn, schema: str, block_rows: int) -> DataFrame:
-    """Meet every block of ``left`` with every block of ``right``, one task group per pair of blocks.
-
-    Both sides are cut by a hash of their unique id, so blocks are even whatever the data looks like.
-    A side that fits one block is not cut and the other side is then shuffled only once. ``fn`` sees
-    two Arrow tables of about ``block_rows`` rows and returns only its best rows.
-    """
-    n_left, n_right = _blocks(left.count(), block_rows), _blocks(right.count(), block_rows)
-    # Own column identities, so that both sides may come from one table.
-    left = left.select(*[F.col(c).alias(c) for c in left.columns])
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])
-    lhs = (
-        left.withColumn("_l", F.pmod(F.xxhash64("id"), F.lit(n_left)))
-        .withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(n_right - 1)).cast("array<bigint>")))
-    )
-    rhs = (
-        right.withColumn("_r", F.pmod(F.xxhash64("id"), F.lit(n_right)))
-        .withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(n_left - 1)).cast("array<bigint>")))
-    )
-    return lhs.groupBy("_l", "_r").cogroup(rhs.groupBy("_l", "_r")).applyInArrow(fn, schema)
-
-
-def _strips(queries: pa.Table, corpus: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and their rounded similarities to the whole corpus block, a strip at a time."""
-    ids = queries.column("id").to_numpy()
-    left, right = unit_rows(matrix(queries, "vector")), unit_rows(matrix(corpus, "vector"))
-    for at in range(0, len(ids), STRIP_ROWS):
-        yield ids[at:at + STRIP_ROWS], np.round(left[at:at + STRIP_ROWS] @ right.T, TIE_DECIMALS)
-
-
-def _best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of the k largest entries per row, equal entries by column."""
-    k = min(k, sims.shape[1])
-    floor = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k]
-    rows, cols = np.nonzero((sims >= floor[:, None]) & np.isfinite(sims))
-    order = np.lexsort((cols, -sims[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, rows, side="left")
-    keep = np.arange(len(rows)) - starts < k
-    return rows[keep], cols[keep]
-
-
-def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False, pivots: int = PIVOTS, block_rows: int | None = None) -> DataFrame:
     """Exact top ``k`` by cosine for every query; ties go to the smaller id.
 
     Both sides have ``id`` and ``vector``. Output: query_id, neighbour_id, similarity, rank.
     """
-    schema = "query_id bigint, neighbour_id bigint, similarity double"
-
-    def block(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if q.num_rows and c.num_rows:
-            c = c.sort_by("id")
-            ids = c.column("id").to_numpy()
-            for qids, sims in _strips(q, c):
-                if skip_self:
-                    sims[qids[:, None] == ids[None, :]] = -np.inf
-                rows, cols = _best(sims, k)
-                for part, values in zip(out, (qids[rows], ids[cols], sims[rows, cols])):
-                    part.append(values)
-        cols = [np.concatenate(p) if p else np.array([], dtype=t) for p, t in zip(out, ("i8", "i8", "f8"))]
-        return pa.table(cols, names=["query_id", "neighbour_id", "similarity"])
-
-    q = queries.select("id", "vector").filter("vector is not null")
-    c = corpus.select("id", "vector").filter("vector is not null")
-    local = _grid_join(q, c, block, schema, block_rows)
-    return top_n(local, ["query_id"], [F.desc("similarity"), F.asc("neighbour_id")], k)
+    rows = corpus.select("id", F.col("id").alias("grp"), "vector")
+    found = best_groups(None if queries is corpus else queries, rows, k, skip_self, pivots, block_rows, grouped=False)
+    return found.drop("grp")
 
 
 def similar_segments(segments: DataFrame, segment_id: int, k: int = 10) -> DataFrame:
@@ -119,47 +53,36 @@ def similar_segments(segments: DataFrame, segment_id: int, k: int = 10) -> DataF
     )
 
 
-def match_songs(labeled: DataFrame, unlabeled: DataFrame, top: int = 3, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _labeled(labeled: DataFrame) -> DataFrame:
+    return labeled.select("id", F.col("song_id").cast("long").alias("grp"), "vector").filter("song_id is not null")
+
+
+def _candidates(found: DataFrame) -> DataFrame:
+    return found.select(
+        F.col("query_id").alias("recording_id"), F.col("grp").alias("song_id"), F.col("neighbour_id").alias("nearest_recording_id"),
+        F.col("similarity").alias("confidence"), "rank", F.lit("pending").alias("status"))
+
+
+def match_songs(labeled: DataFrame, unlabeled: DataFrame, top: int = 3, pivots: int = PIVOTS, block_rows: int | None = None) -> DataFrame:
     """V5: the ``top`` best songs for every unlabeled recording.
 
     A song scores by its best labeled recording, which is kept as the nearest one (smallest id on a
-    tie). ``labeled`` has id, song_id, vector; ``unlabeled`` id, vector. A song among the best ``top``
-    overall is among the best ``top`` of the block that holds its nearest recording, so each block
-    returns ``top`` songs per recording and nothing is lost.
+    tie). ``labeled`` has id, song_id, vector; ``unlabeled`` id, vector.
     """
-    schema = "recording_id bigint, song_id bigint, nearest_recording_id bigint, confidence double"
-
-    def block(q: pa.Table, c: pa.Table) -> pa.Table:
-        out = [[], [], [], []]
-        if q.num_rows and c.num_rows:
-            c = c.sort_by([("song_id", "ascending"), ("id", "ascending")])
-            songs, ids = c.column("song_id").to_numpy(), c.column("id").to_numpy()
-            starts = np.flatnonzero(np.r_[True, songs[1:] != songs[:-1]])
-            ends = np.r_[starts[1:], len(songs)]
-            for qids, sims in _strips(q, c):
-                per_song = np.maximum.reduceat(sims, starts, axis=1)
-                rows, at = _best(per_song, top)
-                best = per_song[rows, at]
-                nearest = np.array(
-                    [s + np.argmax(sims[r, s:e]) for r, s, e in zip(rows, starts[at], ends[at])], dtype="i8"
-                )
-                for part, values in zip(out, (qids[rows], songs[starts[at]], ids[nearest], best)):
-                    part.append(values)
-        kinds = ("i8", "i8", "i8", "f8")
-        cols = [np.concatenate(p) if p else np.array([], dtype=t) for p, t in zip(out, kinds)]
-        return pa.table(cols, names=["recording_id", "song_id", "nearest_recording_id", "confidence"])
-
-    c = labeled.select("id", F.col("song_id").cast("long"), "vector").filter("vector is not null and song_id is not null")
-    q = unlabeled.select("id", "vector").filter("vector is not null")
-    per_song = (
-        _grid_join(q, c, block, schema, block_rows)
-        .groupBy("recording_id", "song_id")
-        .agg(F.max_by(F.struct("nearest_recording_id", "confidence"),
-                      F.struct("confidence", -F.col("nearest_recording_id"))).alias("_best"))
-        .select("recording_id", "song_id", "_best.nearest_recording_id", "_best.confidence")
-    )
-    ranked = top_n(per_song, ["recording_id"], [F.desc("confidence"), F.asc("song_id")], top)
-    return ranked.withColumn("status", F.lit("pending"))
+    return _candidates(best_groups(unlabeled, _labeled(labeled), top, pivots=pivots, block_rows=block_rows))
+
+
+def rematch_songs(matches: DataFrame, labeled: DataFrame, unlabeled: DataFrame, changed: DataFrame, top: int = 3, pivots: int = PIVOTS,
+                  block_rows: int | None = None) -> DataFrame:
+    """What ``match_songs`` would give now, from what it gave before (``matches``) and the recordings changed since.
+
+    ``changed`` (id) names recordings on either side that are new, gone, or have another vector or song. Recordings none of
+    whose songs rest on a changed one meet the changed ones only.
+    """
+    state = matches.select(
+        F.col("recording_id").alias("query_id"), F.col("song_id").alias("grp"), F.col("nearest_recording_id").alias("neighbour_id"),
+        F.col("confidence").alias("similarity"))
+    return _candidates(update_groups(state, unlabeled, _labeled(labeled), changed, top, pivots, block_rows))
 
 
 def refresh_scope(unlabeled: DataFrame, candidates: DataFrame, recording_id: int | None = None) -> DataFrame:

@@ -38,12 +38,14 @@ KNN_SQL = f"""SELECT query_id, neighbour_id, round(s, 6) AS similarity, rk AS ra
 
 @plan("V3_knn", KNN_SQL.replace("@WHERE", "").replace("@K", "5"))
 def v3(a: Archive):
-    return V.knn(_vectors(a), _vectors(a), 5).withColumn("similarity", F.round("similarity", 6))
+    v = _vectors(a)
+    return V.knn(v, v, 5).withColumn("similarity", F.round("similarity", 6))
 
 
 @plan("V10_knn_graph", KNN_SQL.replace("@WHERE", "WHERE x.vec_id <> y.vec_id").replace("@K", "15"))
 def v10(a: Archive):
-    return V.knn(_vectors(a), _vectors(a), 15, skip_self=True).withColumn("similarity", F.round("similarity", 6))
+    v = _vectors(a)
+    return V.knn(v, v, 15, skip_self=True).withColumn("similarity", F.round("similarity", 6))
 
 
 @plan("V4_similar_segments", f"""SELECT c.segment_id, c.recording_id, c.start_seconds, c.end_seconds, t.recording_title, t.session_date, t.audio_path,
@@ -75,6 +77,23 @@ def v5(a: Archive):
     return _shown(_matches(a))
 
 
+# recordings 0, 30, 60 ... get a new song each label, 1, 51, 101 ... lose theirs if they had one
+NOW = "CASE WHEN vec_id % 30 = 0 THEN label + 100 WHEN vec_id % 3 <> 0 AND vec_id % 50 <> 1 THEN label END"
+
+
+@plan("V5_rematch", f"""WITH now AS (SELECT vec_id, embedding, CAST({NOW} AS BIGINT) AS song FROM embeddings),
+ best AS (SELECT q.vec_id AS recording_id, r.song AS song_id, max({COSINE.format(a='q.embedding', b='r.embedding')}) AS c,
+ arg_max(r.vec_id, {{'c': {COSINE.format(a='q.embedding', b='r.embedding')}, 'i': -r.vec_id}}) AS nearest_recording_id
+ FROM now q, now r WHERE q.song IS NULL AND r.song IS NOT NULL GROUP BY 1, 2)
+ SELECT recording_id, song_id, nearest_recording_id, round(c, 6) AS confidence, row_number() OVER (PARTITION BY recording_id ORDER BY c DESC, song_id) AS rank,
+ 'pending' AS status FROM best QUALIFY rank <= 3""")
+def v5_rematch(a: Archive):
+    v = _vectors(a)
+    now = v.withColumn("song_id", F.when(F.col("id") % 30 == 0, F.col("label") + 100).when((F.col("id") % 3 != 0) & (F.col("id") % 50 != 1), F.col("label")))
+    changed = v.filter("id % 30 = 0 or (id % 3 <> 0 and id % 50 = 1)").select("id")
+    return _shown(V.rematch_songs(_matches(a), now.filter("song_id is not null"), now.filter("song_id is null"), changed, 3))
+
+
 OLD_SQL = """SELECT vec_id AS recording_id, CAST(label AS BIGINT) AS song_id, vec_id + 1 AS nearest_recording_id, CAST(0.5 AS DOUBLE) AS confidence, CAST(1 AS BIGINT) AS rank,
  CASE vec_id % 4 WHEN 0 THEN 'accepted' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status FROM embeddings"""
 

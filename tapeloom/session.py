@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,28 @@ def work_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder for one run below the shared folder."""
+    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def store(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it from there: pruned, with statistics, and safe from lost executors."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.options(**options).parquet(folder)
+    out = df.sparkSession.read.schema(df.schema).parquet(folder)
+    out._folder = folder
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by ``store`` that nothing will read again."""
+    folder = getattr(df, "_folder", None)
+    if folder:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a later executor loss re-reads files instead of recomputing the chain."""
     spark = df.sparkSession
