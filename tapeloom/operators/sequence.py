@@ -15,7 +15,7 @@ from tapeloom.operators.ordered import (
 from tapeloom.operators.similarity import mean_vectors
 from tapeloom.functions.labels import settled
 from tapeloom.schemas import SEGMENT_STEP_SECONDS
-from tapeloom.session import cut_lineage
+from tapeloom.session import cut_lineage, store
 
 # Defaults of the two segmentation methods.
 KERNEL_SIZE = 8
@@ -27,6 +27,7 @@ MIN_GROUP = 3
 MAX_GROUP = 20
 
 LIST_PAGE = 4096
+WIDER, MOST_POSITIONS = 16, 1 << 22  # how stretches grow while peaks hang together, and to what size
 TIME_CHUNK = SEGMENT_STEP_SECONDS * CHUNK_ROWS
 
 
@@ -97,38 +98,53 @@ def local_peaks(curve: DataFrame, threshold: float = PEAK_THRESHOLD, chunk: int
     )
 
 
-def space_peaks(peaks: DataFrame, distance: int, chunk: int = CHUNK_ROWS) -> DataFrame:
+def _settle(idx: np.ndarray, height: np.ndarray, fixed: np.ndarray, hidden: np.ndarray, distance: int) -> np.ndarray:
+    """1 for peaks that stay, 2 for those that go, 3 for those that depend on peaks out of sight.
+
+    ``fixed`` peaks are known to stay; around ``hidden`` ones there may be peaks that are not seen.
+    """
+    lo, hi = np.searchsorted(idx, idx - distance, side="right"), np.searchsorted(idx, idx + distance, side="left")
+    state = fixed.astype(np.int8)
+    for p in np.lexsort((idx, height))[::-1].tolist():
+        if not state[p]:
+            around = state[lo[p]:hi[p]]
+            state[p] = 2 if (around == 1).any() else 3 if hidden[p] or (around == 3).any() else 1
+    return state
+
+
+def space_peaks(peaks: DataFrame, distance: int, chunk: int = CHUNK_ROWS, most: int = MOST_POSITIONS) -> DataFrame:
     """Q2: drop peaks closer than ``distance`` to a higher one, highest first, later one on a tie.
 
-    Peaks further apart than ``distance`` cannot affect each other, so each chain of close peaks is
-    settled on its own; chains, not recordings, are the groups. Two peaks are always at least 2 apart.
+    Rounds of local dominance: a stretch of positions, seen with ``distance`` more at either edge, settles every peak that
+    depends on nothing out of sight (the highest around always does). What is left waits for the next round, in which
+    stretches are wider, up to ``most`` positions; peaks that stay come along only if they lie at an edge. Peaks hang together
+    over many stretches only while they rise or fall all the way, so there are few rounds and no group is a whole chain.
     """
-    if distance <= 2:
+    if distance <= 2:  # two peaks are always at least 2 apart
         return peaks
-    keys, width = ["recording_id"], float(chunk)
-    peaks = cut_lineage(peaks)
-    linked = neighbour(peaks, keys, "idx", "idx", ["idx"], width, "_prev")
-    starts = F.when(F.col("_prev").isNull() | (F.col("idx") - F.col("_prev.idx") >= distance), 1).otherwise(0)
-    chains = running_total(linked, keys, "idx", "idx", starts, width, "_chain").drop("_prev")
-
-    def settle(table: pa.Table, begins: np.ndarray) -> pa.Table:
-        idx, height = table.column("idx").to_numpy(), table.column("height").to_numpy()
-        keep = np.ones(len(idx), dtype=bool)
-        ends = np.r_[begins[1:], len(idx)]
-        for s, e in zip(begins, ends):
-            if e - s == 1:
-                continue
-            for p in s + np.lexsort((idx[s:e], height[s:e]))[::-1]:
-                if keep[p]:
-                    lo = s + np.searchsorted(idx[s:e], idx[p] - distance, side="right")
-                    hi = s + np.searchsorted(idx[s:e], idx[p] + distance, side="left")
-                    keep[lo:hi] = False
-                    keep[p] = True
-        return table.select(["recording_id", "idx", "height"]).filter(pa.array(keep))
-
-    return map_groups(
-        chains, ["recording_id", "_chain"], ["idx"], settle, "recording_id bigint, idx bigint, height double"
-    )
+    schema = "recording_id bigint, idx bigint, height double, _fixed boolean, state int"
+    left, done, width = peaks.withColumn("_fixed", F.lit(False)), None, chunk
+    while True:
+        def settle(table: pa.Table, begins: np.ndarray, width=width) -> pa.Table:
+            idx, height, fixed = (table.column(c).to_numpy() for c in ("idx", "height", "_fixed"))
+            first = table.column("_chunk").to_numpy() * width
+            hidden = (idx < first) | (idx >= first + width)
+            state = np.concatenate([
+                _settle(idx[s:e], height[s:e], fixed[s:e], hidden[s:e], distance) for s, e in zip(begins, np.r_[begins[1:], len(idx)])
+            ])
+            out = table.select(["recording_id", "idx", "height", "_fixed"]).append_column("state", pa.array(state, pa.int32()))
+            return out.filter(pa.array(table.column("_core").to_numpy() & (state != 2)))
+
+        rows = with_halo(left, "idx", distance, distance, width)
+        found = store(map_groups(rows, ["recording_id", "_chunk"], ["idx"], settle, schema), "peaks")
+        kept = found.filter("state = 1 and not _fixed").select("recording_id", "idx", "height")
+        done = kept if done is None else done.unionByName(kept)
+        if found.filter("state = 3").isEmpty():
+            return done
+        place = F.pmod("idx", F.lit(width))
+        edge = (place < distance) | (place >= width - distance)
+        left = found.filter((F.col("state") == 3) | edge).select("recording_id", "idx", "height", (F.col("state") == 1).alias("_fixed"))
+        width = min(width * WIDER, max(most, width))
 
 
 def pick_boundaries(

@@ -160,3 +160,37 @@ def test_band_of_the_similarity_matrix(spark, data):
         want = [float(u[r.idx] @ u[j]) for j in range(r.idx + 1, min(r.idx + 5, len(u)))]
         assert np.allclose(r.cosines, want)
     assert len(got) == sum(LENGTHS.values())
+
+
+def walked(peaks, distance):
+    """The greedy walk over all peaks: highest first, the later one of two equal ones."""
+    kept = set()
+    for h, i in sorted(((h, i) for i, h in peaks), reverse=True):
+        if not any((i + d) in kept for d in range(1 - distance, distance)):
+            kept.add(i)
+    return kept
+
+
+@pytest.mark.parametrize("distance,chunk,most", [(3, 16, 64), (7, 10, 40), (30, 8, 100), (5, 4096, 1 << 22)])
+def test_spacing_by_rounds_is_the_greedy_walk(spark, distance, chunk, most):
+    """Ramps up and down over many stretches, plateaus, noise and a single peak; no stretch ever holds a whole recording."""
+    rng = np.random.default_rng(distance)
+    at = np.cumsum(rng.integers(2, 6, 400))
+    shapes = {
+        1: np.arange(400.0), 2: -np.arange(400.0), 3: np.zeros(400), 4: rng.integers(0, 4, 400).astype(float), 5: rng.normal(size=400),
+        6: np.abs(np.arange(400.0) - 200), 7: -np.abs(np.arange(400.0) - 200),
+    }
+    rows = [(r, int(i), float(h)) for r, hs in shapes.items() for i, h in zip(at, hs)] + [(8, 5, 1.0)]
+    df = spark.createDataFrame(rows, "recording_id long, idx long, height double").repartition(5)
+    got = {(r.recording_id, r.idx) for r in Q.space_peaks(df, distance, chunk, most).collect()}
+    want = {(k, i) for k in {r[0] for r in rows} for i in walked([(i, h) for r, i, h in rows if r == k], distance)}
+    assert got == want
+
+
+def test_a_chain_of_a_million_peaks(spark):
+    """One recording, rising all the way: settled in stretches of 4096, 65 536 and 2^20 positions, never in one piece."""
+    n = 1_000_000
+    df = spark.range(n).selectExpr("1L AS recording_id", "id * 2 AS idx", "cast(id as double) AS height")
+    got = Q.space_peaks(df, 3, 4096, 1 << 20).agg(F.count("*"), F.min("idx"), F.sum("idx")).first()
+    want = range(2 * (n - 1), -1, -4)  # from the top, every second peak
+    assert tuple(got) == (len(want), want[-1], sum(want))
