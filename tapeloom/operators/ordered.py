@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tapeloom.session import store
+
 CHUNK_ROWS = 4096
 
 
@@ -137,22 +139,28 @@ def carry_forward(
     )
 
 
-def consecutive_ids(counts: DataFrame, key: str, count: str, out: str, width: int = 65536) -> DataFrame:
-    """First global id of each key when ids run on over keys in ascending order.
+def consecutive_ids(counts: DataFrame, key: str, count: str, out: str, size: int = CHUNK_ROWS) -> DataFrame:
+    """First global id of each key when ids run on over keys in ascending order; keys may be any numbers.
 
-    ``counts`` has one row per key. Keys are cut into ranges of ``width``; only the range totals
-    (one row per range) meet in a single window.
+    ``counts`` has one row per key. Rows are sorted by sampled ranges and written, so that each knows its task and place.
+    Sums run inside chunks of ``size`` rows, over the chunks of a task, and over the tasks: one row per task meets in one window.
     """
-    rows = _chunked(counts, key, width)
-    ranges = rows.groupBy("_chunk").agg(F.sum(count).alias("_s"))
-    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("_chunk", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_chunk").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    at = F.monotonically_increasing_id().alias("_at")  # task in the upper 31 bits, place in the lower 33
+    rows = store(counts.orderBy(key).select("*", at), "ids")
+    rows = rows.withColumn("_task", F.shiftright("_at", 33)).withColumn("_chunk", F.floor(F.col("_at") / F.lit(size)).cast("long"))
+    chunks = rows.groupBy("_task", "_chunk").agg(F.sum(count).alias("_s"))
+    tasks = chunks.groupBy("_task").agg(F.sum("_s").alias("_s"))
+
+    def before(w, value: str) -> Column:
+        return F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    chunks = chunks.select("_task", "_chunk", before(Window.partitionBy("_task").orderBy("_chunk"), "_s").alias("_chunks_before"))
+    tasks = tasks.select("_task", before(Window.orderBy("_task"), "_s").alias("_tasks_before"))
     return (
-        rows.withColumn("_local", F.coalesce(F.sum(count).over(inside), F.lit(0)))
-        .join(ranges, "_chunk")
-        .withColumn(out, (F.col("_before") + F.col("_local")).cast("long"))
-        .drop("_chunk", "_before", "_local")
+        rows.withColumn("_local", before(Window.partitionBy("_task", "_chunk").orderBy("_at"), count))
+        .join(chunks, ["_task", "_chunk"]).join(tasks, "_task")
+        .withColumn(out, (F.col("_tasks_before") + F.col("_chunks_before") + F.col("_local")).cast("long"))
+        .drop("_at", "_task", "_chunk", "_local", "_chunks_before", "_tasks_before")
     )
 
 

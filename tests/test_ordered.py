@@ -58,7 +58,7 @@ def test_running_total_from_smaller_table(spark):
 
 def test_consecutive_ids(spark):
     df = spark.createDataFrame([(k, k % 4 + 1) for k in range(0, 900, 7)], "recording_id long, c long")
-    got = {r.recording_id: r.first for r in O.consecutive_ids(df, "recording_id", "c", "first", width=50).collect()}
+    got = {r.recording_id: r.first for r in O.consecutive_ids(df, "recording_id", "c", "first", size=4).collect()}
     at = 0
     for k in range(0, 900, 7):
         assert got[k] == at
@@ -77,10 +77,49 @@ def test_quantiles_match_numpy(spark):
     big = np.r_[rng.normal(size=60000), np.full(30000, 0.25), 1e30, -1e18]
     one = exact_quantiles(spark.createDataFrame([(float(x),) for x in big], "x double").repartition(6), [], "x", {"a": 0.0, "b": 0.5, "c": 0.7, "d": 0.995, "e": 1.0}).head()
     assert np.allclose([one[c] for c in "abcde"], np.percentile(big, [0, 50, 70, 99.5, 100]))
-    at = values_at(df.filter("k = 1"), ["k"], "x", {"p": (0.9, F.floor(F.col("_n") * F.lit(0.9)))}).head().p
+    at = values_at(df.filter("k = 1"), ["k"], "x", {"p": F.floor(F.col("_n") * F.lit(0.9))}).head().p
     assert at == sorted(x for k, x in data if k == 1)[int(501 * 0.9)]
 
 
+@pytest.mark.parametrize("steps", [256, 1 << 16])
+def test_quantiles_of_a_key_with_all_rows(spark, steps):
+    """Values of every size and sign, copies, and a thick cluster that takes several rounds; nothing but counts is shuffled."""
+    rng = np.random.default_rng(12)
+    tight = 1.0 + rng.integers(0, 1 << 20, 20_000) * 2.0 ** -50
+    xs = np.r_[tight, rng.normal(size=5000) * 10.0 ** rng.integers(-300, 300, 5000), np.zeros(500), -0.0, 1e308, -1e308, np.inf, -np.inf, 5e-324]
+    df = spark.createDataFrame([(float(x),) for x in rng.permutation(xs)], "x double").repartition(7)
+    probs = {f"p{i}": i / 40 for i in range(1, 40)}
+    got = exact_quantiles(df, [], "x", probs, steps).head()
+    want = np.percentile(xs, [100 * p for p in probs.values()])
+    assert all(got[n] == pytest.approx(w, rel=1e-12, abs=0) for n, w in zip(probs, want))
+    ends = values_at(df.withColumn("k", F.lit(1)), ["k"], "x", {"a": F.lit(0), "z": F.col("_n") - 1}, steps).head()
+    assert (ends.a, ends.z) == (-np.inf, np.inf)
+
+
+def test_a_position_that_is_missed_raises(spark):
+    df = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, None), (None, 4.0)], "k long, x double")
+    assert [tuple(r) for r in values_at(df, ["k"], "x", {"a": F.lit(1)}).collect()] == [(1, 2.0)]
+    with pytest.raises(Exception, match="outside the group"):
+        values_at(df, ["k"], "x", {"a": F.col("_n")}).collect()
+    with pytest.raises(ValueError, match="still open"):
+        exact_quantiles(spark.range(5000).selectExpr("1.0 + id * pow(2D, -50) AS x"), [], "x", {"a": 0.5}, steps=2).collect()
+    nan = spark.createDataFrame([(float("nan"),), (1.0,), (float("nan"),)], "x double")
+    row = exact_quantiles(nan, [], "x", {"a": 0.0, "z": 1.0}).head()
+    assert row.a == 1.0 and np.isnan(row.z)
+
+
+def test_ids_run_on_over_hashed_keys(spark):
+    """Keys of 64 bits anywhere, negative ones too: no task orders all of them, and the ids are those of one sorted pass."""
+    df = spark.range(30_000).select(F.xxhash64("id").alias("recording_id"), (F.col("id") % 5).alias("c"))
+    out = O.consecutive_ids(df, "recording_id", "c", "first", size=512)
+    got = {r.recording_id: r.first for r in out.collect()}
+    at = 0
+    for r in sorted(df.collect()):
+        assert got[r.recording_id] == at
+        at += r.c
+    assert O.consecutive_ids(df.limit(0), "recording_id", "c", "first").count() == 0
+
+
 def test_chunks_of_a_hot_key_leave_its_task(spark):
     """Rows that lie by key, as after a join without broadcast: windows must still run per chunk, in several tasks."""
     off = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
