@@ -17,6 +17,7 @@ one. Other columns are not carried.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from tapeloom.llm.common import Rows, store, texts
 from tapeloom.llm.tokens import word_ids
 
-PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, part bigint, rank bigint"
+PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary, ids_crc32 bigint, part bigint, rank bigint"
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0,
@@ -45,7 +46,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
                 for piece, at in enumerate(range(0, len(coded), 4 * capacity)):
                     ids = coded[at:at + 4 * capacity]
                     n = len(ids) // 4
-                    out.add(doc, piece, at // 4, n, ids, part, seen[n], size=len(ids) + 64)
+                    out.add(doc, piece, at // 4, n, ids, crc32(ids), part, seen[n], size=len(ids) + 64)
                     seen[n] += 1
                 if out.full():
                     yield from out.take()
@@ -134,10 +135,13 @@ def place_pieces(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, piece, start, length, ids, sequence_id, offset`` for every piece of every document."""
+                   id_col: str = "doc_id", text_col: str = "text", ids: bool = True) -> DataFrame:
+    """``doc_id, piece, start, length, ids, ids_crc32, sequence_id, offset`` for every piece of every document.
+
+    Without ``ids`` only narrow columns are placed; the ids stay where they are written.
+    """
     pieces = store(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pieces", compression="zstd")
-    return place_pieces(pieces, capacity)
+    return place_pieces(pieces if ids else pieces.drop("ids"), capacity)
 
 
 def sequences(placed: DataFrame) -> DataFrame:

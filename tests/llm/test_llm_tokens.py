@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from tapeloom.llm import packing, token_files, token_scan
 from tapeloom.llm.common import new_folder
 from tapeloom.llm.queries import QUERIES
-from tapeloom.llm.tokens import WordIds, default_vocabulary
+from tapeloom.llm.tokens import WordIds, default_vocabulary, slices
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = [None, "", " ", "\n\n", "It's  O'NEIL's 'tis we'll\tgo", "a\x1cb\x85c\xa0d", "<|endoftext|> x<|startoftext|>y <|ENDOFTEXT|>",
@@ -44,10 +44,19 @@ def test_word_ids_equal_the_library(spark, tokenizer):
     texts = [t or "" for t in ODD] + [r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").select("text").collect()]
     r = random.Random(1)
     texts += ["".join(r.choice("aB'é1 .\n\t<|>́漢 \x1f") for _ in range(60)) for _ in range(300)]
+    latin = [chr(c) for c in [10, *range(0x20, 0x7F), *range(0xA1, 0x100)]]
+    texts += ["".join(r.choices(latin, k=r.randint(1, 40))) for _ in range(2000)]
     for t in texts:
         assert np.frombuffer(words.encode(t), "<u4").tolist() == ids(tokenizer, t), repr(t[:80])
 
 
+def test_long_texts_are_split_at_white_space():
+    for text in ("ab cd\nef " * 50, "x" * 100, "x" * 30 + " " + "y" * 5, "", "a b"):
+        parts = list(slices(text, 7))
+        assert "".join(parts) == text and all(p[-1] in " \n" for p in parts[:-1])
+        assert all(len(p) <= 7 + max(map(len, text.replace("\n", " ").split(" "))) + 1 for p in parts)
+
+
 def test_token_files_query(spark, tokenizer):
     want, at = [], 0
     for r in spark.read.parquet(f"{FOLDER}/documents.parquet").orderBy("doc_id").collect():
@@ -138,6 +147,9 @@ def test_packing_query(spark, tokenizer):
 
 def test_packing_odd_rows_and_sequences(spark, tokenizer):
     placed = packing.pack_documents(odd_docs(spark), default_vocabulary(), capacity=64, end_id=0)
+    assert placed.where("ids_crc32 <> crc32(ids)").count() == 0
+    narrow = packing.pack_documents(odd_docs(spark), default_vocabulary(), capacity=64, end_id=0, ids=False)
+    assert sorted(narrow.collect(), key=str) == sorted(placed.drop("ids").collect(), key=str)
     rows = placed.collect()
     check_bins(rows, 64)
     assert sum(r["length"] for r in rows) == sum(len(ids(tokenizer, r["text"])) + 1 for r in odd_docs(spark).collect())
