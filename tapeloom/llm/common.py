@@ -2,41 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.session import work_dir
+from tapeloom.session import discard, new_folder, store  # noqa: F401
 
 BATCH_BYTES = 8 << 20  # what a task gathers before it hands a batch on
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder for one run below the shared folder of the cluster."""
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def store(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it from there: work is done once and outlives executors."""
-    folder = new_folder(df.sparkSession, name)
-    df.write.options(**options).parquet(folder)
-    out = df.sparkSession.read.schema(df.schema).parquet(folder)
-    out._folder = folder
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table made by ``store`` that nothing will read again."""
-    folder = getattr(df, "_folder", None)
-    if folder:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -54,6 +30,13 @@ def with_text(docs: DataFrame, text, text_col: str = "text") -> DataFrame:
     return out.select(*docs.columns)
 
 
+def hash_share(hashed: Column, rows: int, total: int) -> Column:
+    """Rows whose 64-bit hash lies in the lowest part that holds ``rows`` of ``total`` on average; all if there are no more."""
+    if rows >= total:
+        return F.lit(True)
+    return hashed < F.lit(-(1 << 63) + (rows << 64) // total)
+
+
 KINDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "double": pa.float64(),
          "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()),
          "array<string>": pa.list_(pa.string()), "array<binary>": pa.list_(pa.binary())}

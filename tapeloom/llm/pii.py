@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.llm.boosting import Boosted, cut_for_precision, fit_boosted
-from tapeloom.llm.common import texts
+from tapeloom.llm.common import hash_share, texts
 
 KINDS = ["email", "ip", "card", "phone", "account", "secret"]  # the first four have a base pattern
 MAX_CONTEXTS, STRETCH, PRECISION = 2000, 400, 0.98
@@ -86,7 +86,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of the fixed patterns that pass their checks, by kind as listed and start."""
     out = [("email", a, b) for a, b in _emails(text)]
     if any(c in text for c in "0123456789"):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p) < 4 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m[0].split(".")))]
         for m in CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "")
             if 16 <= len(digits) <= 19 and luhn(digits):
@@ -204,9 +204,11 @@ def _place(id_col: str, text_col: str):
 def train(docs: DataFrame, max_contexts: int = MAX_CONTEXTS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Boosted, dict[str, float]]:
     """Trees and a threshold for each kind, from a bounded sample of stretches of the corpus."""
     known = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    share = min(1.0, max_contexts / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < int(share * (1 << 20)))
+    total = known.count()
+    chosen = known.where(hash_share(F.xxhash64(id_col), max_contexts, total))
     rows = chosen.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).substr(_place(id_col, text_col), F.lit(STRETCH)).alias("t")).orderBy("i", "t").collect()
+    if total and not rows:
+        raise ValueError("the sample of contexts is empty though there are texts")
     x, y, kinds = training_rows([r["t"] for r in rows] or ["some words to stand around a value"] * 200)
     model = fit_boosted(x, y)
     held = np.arange(len(y)) % 3 == 2

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import discard, store
+from tapeloom.llm.common import discard, hash_share, store
 
 WHITE = " \t\n\x0b\x0c\r"
 WINDOW = 8
@@ -197,8 +197,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, id_col: st
     """Rules from texts whose ``quality`` label is 0 (bad) or 1."""
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(
         F.min("quality").alias("_low"), F.max("quality").alias("_high")).where("_low = _high")
-    share = min(1.0, max_rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    total = known.count()
+    sample = known.where(hash_share(F.xxhash64("doc_id"), max_rows, total))
+    if total and sample.isEmpty():
+        raise ValueError("the sample of labels is empty though there are labels")
     sample = sample.select(F.col("doc_id").alias("_doc"), (F.col("_low") == 0).alias("bad"))
     texts = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("text"))
     rows = texts.join(F.broadcast(sample), "_doc")  # max_rows bounds it

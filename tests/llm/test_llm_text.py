@@ -5,12 +5,14 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tapeloom.llm import boosting, html_text, licenses, pii, quality_rules
+from tapeloom.llm.common import hash_share
 from tapeloom.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -181,6 +183,21 @@ def test_every_written_value_is_proposed_whole_and_most_are_found():
     assert found >= 0.8 * written, (found, written)
 
 
+def test_long_digit_runs():
+    for text, want in (("0" * 5000 + ".1.1.1", [("ip", 0, 5006)]), ("1" * 5000 + ".1.1.1", []), ("1.2.3." + "0" * 9000 + "4", [("ip", 0, 9007)])):
+        assert [x for x in pii.base_spans(text) if x[0] == "ip"] == want
+
+
+def test_shares_of_hashes_do_not_fall_to_nothing(spark):
+    ids = spark.range(100_000).select(F.xxhash64("id").alias("h"))
+    assert 1700 < ids.where(hash_share(F.col("h"), 2000, 100_000)).count() < 2300
+    assert ids.where(hash_share(F.col("h"), 2000, 1500)).count() == 100_000
+    lowest = ids.agg(F.min("h")).first()[0]
+    for total in (10 ** 10, 10 ** 13, 10 ** 16):  # far beyond a part in 2^20
+        share = spark.range(1).where(hash_share(F.lit(-(1 << 63)), 2000, total))
+        assert share.count() == 1 and ids.where((F.col("h") == lowest) & hash_share(F.col("h"), total // 2, total)).count() == 1
+
+
 def test_pii_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a@b.co " * 20_000), (4, "x" * 200_000), (None, "call +1 (555) 010-9999"), (3, "a@b.co"), (3, "a@b.co")]
     got = pii.personal_data(frame(spark, rows)).collect()
@@ -242,13 +259,48 @@ def test_names_of_wrappers_lose_nothing(wrapper):
     assert html_text.main_text(page) == f"Title\n{LONG}\n{LONG}"
 
 
-@pytest.mark.parametrize("name", ["id=related-work", "id=notice", "class=social-policy", "class='section comments'"])
+@pytest.mark.parametrize("name", ["id=related-work", "id=notice", "class=social-policy", "id=comment-on-method"])
 def test_names_of_sections_lose_nothing(name):
     page = f"<article><h1>Title</h1><p>{LONG}</p><section {name}><h2>Part</h2><p>{LONG} Part.</p></section><p>{LONG}</p><div class=share>Share!</div></article>"
     got = html_text.main_text(page).split("\n")
     assert f"{LONG} Part." in got and "Part" in got and got.count(LONG) == 2 and "Share!" not in got
 
 
+@pytest.mark.parametrize("name", ["class='section comments'", "id=comments", "class=comment-list", "id=reader-comments", "class=replies"])
+def test_reader_comments_go_wherever_they_stand(name):
+    talk = f"<p>{LONG} Nice.</p>" * 30
+    for page in (f"<main><h1>T</h1><p>{LONG}</p><section {name}>{talk}</section></main>",
+                 f"<div id=content><h1>T</h1><p>{LONG}</p></div><div {name}>{talk}</div>",
+                 f"<article><h1>T</h1><p>{LONG}</p><div {name}><article class=comment>{talk}</article></div></article>"):
+        assert html_text.main_text(page) == f"T\n{LONG}"
+    assert html_text.main_text(f"<div {name}><p>{LONG}</p></div>") == LONG  # nothing else on the page
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><form action=/><div class=menu><a href=/>Home</a></div><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article></form>", f"T\n{LONG}\n{LONG}"),
+    (f"<body><article><h1>T</h1><p>{LONG}</p><p>{LONG}</p></article><form><p>{LONG}</p><label>Mail</label><input></form>", f"T\n{LONG}\n{LONG}"),
+    (f"<article><p>{LONG}</p><ul><li><a href=1>One item</a></li><li><a href=2>Two item</a></li></ul></article><ul><li><a href=3>Menu</a></li></ul>",
+     f"{LONG}\nOne item\nTwo item"),
+])
+def test_forms_and_lists(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("open_, close", [("<div>word, text.", ""), ("<div>a, b.", "</p>"), ("<blockquote>q, r.", "</section>"), ("<b>x, y.", "</i>"),
+                                          ("<ul><li>z, z.", ""), ("<form>f, g.", "</form></div>")])
+def test_deep_pages_take_time_in_proportion(open_, close):
+    page = open_ * (1_000_000 // len(open_)) + close * 20_000
+    t0 = time.process_time()
+    text = html_text.main_text(page)
+    assert time.process_time() - t0 < 20  # a walk over all that is open, for each tag, would take over an hour
+    assert text.count(",") == 1_000_000 // len(open_)
+
+
+def test_blocks_that_tie():
+    """Equal scores are all content."""
+    assert html_text.main_text(f"<div><p>{LONG}</p></div>" * 4).split("\n") == [LONG] * 4
+
+
 def test_pages_odd_rows(spark):
     rows = [(1, "u", None, "x"), (1, "u", "", "x"), (None, None, "<p>" * 20_000 + "deep", "x"), (2, "u", "<p>a, b.</p>" * 20_000, "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
@@ -302,6 +354,16 @@ def test_short_forms_get_their_label(text, want):
     assert "apache" not in licenses.Index({}, 5).scan(licenses.words_of("used in compliance with the license"))[2]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Creative Commons Attribution-ShareAlike 3.0", {"cc-by-sa"}), ("Creative Commons Attribution-NonCommercial 4.0", {"cc-by-nc"}),
+    ("Creative Commons Attribution 4.0, not Creative Commons Attribution-ShareAlike", {"cc-by", "cc-by-sa"}), ("GPLv3", {"gpl"}), ("BSD-3-Clause", {"bsd"}),
+    ("SPDX-License-Identifier: MIT", {"mit"}), ("SPDX-License-Identifier: GPL-2.0-only", {"gpl"}), ("SPDX-License-Identifier: LGPL-2.1", {"lgpl"}),
+    ("ISC License", {"isc"}), ("zlib license", {"zlib"}), ("MIT/X11", {"mit"}), ("SPDX-License-Identifier: Apache-2.0", {"apache"}),
+])
+def test_forms_name_one_licence(text, want):
+    assert licenses.Index({}, 5).scan(licenses.words_of(f"See: {text}."))[2] == want
+
+
 def test_licenses_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "MIT license " * 50_000), (None, "the GNU General\nPublic License"), (3, "é漢 mit-license"), (3, "é漢 mit-license")]
     got = sorted((str(r["doc_id"]), *tuple(r)[1:6]) for r in licenses.scan_licenses(frame(spark, rows)).collect())
