@@ -133,23 +133,24 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3,
                         counts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the repeated lines; with ``counts``, also ``n_lines`` (before) and ``n_dropped``."""
     gone = repeated_lines(docs, min_chars, min_docs, filter_bits, id_col, text_col)
-    gone = gone.groupBy("doc_id").agg(F.collect_set("digest").alias("_gone")).withColumnRenamed("doc_id", "_doc")
+    gone = gone.groupBy("doc_id").agg(F.collect_set("digest").alias("gone"))
     rows = docs.drop("n_lines", "n_dropped") if counts else docs
-    both = rows.join(gone, F.col(id_col).cast("long") == F.col("_doc"), "left").drop("_doc")
-    at, marks, size = rows.columns.index(text_col), len(rows.columns), "n_chars" in rows.columns and rows.columns.index("n_chars")
+    own = F.struct(*(F.col(c) for c in rows.columns)).alias("row")  # columns of the caller may have any name
+    both = rows.select(own, F.col(id_col).cast("long").alias("doc_id")).join(gone, "doc_id", "left").select("row", "gone")
+    at, size = rows.columns.index(text_col), "n_chars" in rows.columns and rows.columns.index("n_chars")
     schema = (rows.withColumns({"n_lines": F.lit(0).cast("long"), "n_dropped": F.lit(0).cast("long")}) if counts else rows).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, total, lost = [], [], []
-            for text, gone_ in zip(batch.column(at), batch.column(marks)):
+            columns = batch.column(0).flatten()
+            for text, gone_ in zip(columns[at], batch.column(1)):
                 text, drop = text.as_py(), set(gone_.as_py() or ())
                 lines = (text or "").split("\n")
                 stay = [x for x in lines if line_digest(x, min_chars) not in drop] if drop else lines
                 kept.append("\n".join(stay) if drop else text)
                 total.append(len(lines))
                 lost.append(len(lines) - len(stay))
-            columns = list(batch.columns[:marks])
             columns[at] = pa.array(kept, columns[at].type)
             if size is not False:
                 same = [n if not d else len(t) for n, t, d in zip(columns[size].to_pylist(), kept, lost)]

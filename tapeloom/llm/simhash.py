@@ -178,8 +178,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
     """``docs`` with one row of each component: that of the smallest id (a null one last), then of the smallest text hash."""
     last = F.lit((1 << 63) - 1)
     found = find(docs, id_col, text_col)
-    kept = found.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("_id"), F.col("hash").alias("_hash"))).alias("_k"))
-    kept = kept.select("_k._id", "_k._hash")
-    own = {"_id": F.coalesce(F.col(id_col).cast("long"), last), "_hash": F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))}
-    rows = docs.withColumns(own).join(kept, ["_id", "_hash"], "left_semi")
-    return rows.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    kept = found.groupBy("group").agg(F.min(F.struct(F.coalesce("doc_id", last).alias("id"), F.col("hash").alias("hash"))).alias("_k"))
+    own = F.struct(*(F.col(c) for c in docs.columns)).alias("row")  # columns of the caller may have any name
+    rows = docs.select(own, F.coalesce(F.col(id_col).cast("long"), last).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"))
+    return rows.join(kept.select("_k.id", "_k.hash"), ["id", "hash"], "left_semi").dropDuplicates(["id", "hash"]).select("row.*")

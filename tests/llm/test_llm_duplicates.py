@@ -228,3 +228,16 @@ def test_items_of_one_id_fall_into_many_blocks(spark):
     items = spark.createDataFrame([(None if i % 2 else 7, f"item number {i:04d} of many") for i in range(400)], "item_id long, text string")
     blocks = list(decontaminate._blocks(items, 1000))
     assert sum(map(len, blocks)) == 400 and max(sum(len(t) for _, t in b) for b in blocks) <= 2500
+
+
+def test_columns_of_the_caller_are_kept_whatever_their_names(spark):
+    """Names the operators use themselves: none is overwritten or ambiguous."""
+    names = ["_id", "_hash", "id", "hash", "row", "group", "_doc", "_gone", "gone", "digest", "component_id"]
+    line = "a line that three documents share, word for word"
+    rows = [(i, f"{line}\nown text number {i} of its kind", *(f"{n}{i}" for n in names)) for i in range(4)] + [(9, "own text", *names), (10, "own text", *names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(docs).collect()}
+    assert all(got[i][n] == f"{n}{i}" for i in range(4) for n in names) and line not in got[0]["text"] and line in got[3]["text"]
+    kept = {r["doc_id"]: r for r in simhash.keep_one(docs.where("doc_id in (0, 9, 10)")).collect()}
+    assert set(kept) == {0, 9} and all(kept[0][n] == f"{n}0" and kept[9][n] == n for n in names)
+    assert simhash.keep_one(docs).columns == docs.columns and line_dedup.drop_repeated_lines(docs).columns == docs.columns
