@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.ordered import ordinal
+from tapeloom.session import store
 from tapeloom.sources.inventory import dense_ids, first_per, with_scan_order
 
 TAKES_PAGE = 1000
 ID_CHUNK = 1 << 20
+CELL_POINTS = 64  # points a cell of the grid may hold before it is cut
+FAN, LEVELS = 4, 16  # cells a cell is cut into along each side, and how often
+SLACK = 2e-9  # distances count to nine decimals
 
 
 def recording_view(recordings: DataFrame, sessions: DataFrame, songs: DataFrame) -> DataFrame:
@@ -230,36 +234,97 @@ def nearest_start(segments: DataFrame, requests: DataFrame) -> DataFrame:
     return requests.join(near, ["recording_id", "split_at"], "left")
 
 
-def nearest_point(queries: DataFrame, points: DataFrame, max_dist: float, levels: tuple[int, ...] = (64, 8, 1)) -> DataFrame:
+def _cell(value: str, size: float) -> Column:
+    return F.floor(F.col(value) / F.lit(size)).cast("long")
+
+
+def grid_tree(spots: DataFrame, size: float, most: int) -> tuple[list[DataFrame], DataFrame]:
+    """Cells of ``size`` that hold points (point_id, _x, _y), each cut into ``FAN`` by ``FAN`` until at most ``most`` are left.
+
+    Returns the cells of each level (_cx, _cy, _n and the box around their points) and the points with the cell
+    that is not cut (_level, _cx, _cy). Each level counts only what lies in cells that are cut; cells are powers of two apart, so
+    that a point's cell is exactly the one its parent is cut into.
+    """
+    left, levels, leaves = spots, [], None
+    for level in range(LEVELS):
+        keyed = left.withColumn("_cx", _cell("_x", size / FAN ** level)).withColumn("_cy", _cell("_y", size / FAN ** level))
+        cells = store(keyed.groupBy("_cx", "_cy").agg(
+            F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_x0"), F.max("_x").alias("_x1"), F.min("_y").alias("_y0"), F.max("_y").alias("_y1")), "cells")
+        levels.append(cells)
+        cut = cells.filter(F.col("_n") > most).select("_cx", "_cy")
+        last = level == LEVELS - 1 or cut.isEmpty()
+        whole = keyed if last else keyed.join(cut, ["_cx", "_cy"], "left_anti")
+        whole = whole.withColumn("_level", F.lit(level))
+        leaves = whole if leaves is None else leaves.unionByName(whole)
+        if last:
+            return levels, leaves
+        left = store(keyed.join(cut, ["_cx", "_cy"], "left_semi").drop("_cx", "_cy"), "points")
+
+
+def _gap(value: str, low: Column, high: Column) -> Column:
+    return F.greatest(low - F.col(value), F.col(value) - high, F.lit(0.0))
+
+
+def _length(x: Column, y: Column) -> Column:
+    return F.sqrt(x * x + y * y)
+
+
+def cells_in_reach(places: DataFrame, levels: list[DataFrame], max_dist: float, most: int) -> DataFrame:
+    """For each place (_q, x, y) the uncut cells that may hold its nearest point: _q, x, y, _level, _cx, _cy.
+
+    From the coarsest level on, the farthest corner of any cell's box bounds the distance, and cells whose box is
+    farther than the least such bound are left; the others are looked into a level deeper.
+    """
+    w = Window.partitionBy("_q")
+    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    front = (
+        places.withColumn("_reach", F.lit(float(max_dist))).withColumn("_cx", F.explode(F.transform(around, lambda d: _cell("x", max_dist) + d)))
+        .withColumn("_cy", F.explode(F.transform(around, lambda d: _cell("y", max_dist) + d)))
+    )
+    found = None
+    for level, cells in enumerate(levels):
+        near = _length(_gap("x", F.col("_x0"), F.col("_x1")), _gap("y", F.col("_y0"), F.col("_y1")))
+        far = _length(F.greatest(F.abs(F.col("x") - F.col("_x0")), F.abs(F.col("x") - F.col("_x1"))),
+                      F.greatest(F.abs(F.col("y") - F.col("_y0")), F.abs(F.col("y") - F.col("_y1"))))
+        hits = front.join(cells, ["_cx", "_cy"]).withColumn("_near", near).withColumn("_reach", F.min(F.least(far, F.col("_reach"))).over(w))
+        hits = hits.filter(F.col("_near") <= F.col("_reach") + SLACK).select("_q", "x", "y", "_cx", "_cy", "_n", "_near", "_reach")
+        last = level == len(levels) - 1
+        hits = hits if last else store(hits, "reach")
+        done = (hits if last else hits.filter(F.col("_n") <= most)).drop("_n").withColumn("_level", F.lit(level))
+        found = done if found is None else found.unionByName(done)
+        if not last:
+            size = max_dist / FAN ** (level + 1)
+            steps = F.sequence(F.lit(0), F.lit(FAN - 1))
+            front = (
+                hits.filter(F.col("_n") > most).select("_q", "x", "y", "_reach", F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
+                .withColumn("_cx", F.explode(F.transform(steps, lambda i: F.col("_px") * FAN + i)))
+                .withColumn("_cy", F.explode(F.transform(steps, lambda i: F.col("_py") * FAN + i)))
+                .filter(_length(_gap("x", F.col("_cx") * size, (F.col("_cx") + 1) * size), _gap("y", F.col("_cy") * size, (F.col("_cy") + 1) * size))
+                        <= F.col("_reach") + SLACK)
+                .drop("_px", "_py")
+            )
+    found = found.withColumn("_reach", F.min("_reach").over(w)).filter(F.col("_near") <= F.col("_reach") + SLACK)
+    return found.drop("_near", "_reach")
+
+
+def nearest_point(queries: DataFrame, points: DataFrame, max_dist: float, most: int = CELL_POINTS) -> DataFrame:
     """Nearest visible point closer than ``max_dist``; smaller id on a tie.
 
-    Points sharing a position are first reduced to the smallest id. A query meets the points of its own
-    and the eight neighbouring cells of a grid; a hit closer than the cell size is final. Fine grids go
-    first, so queries inside a dense spot are settled against a few points and never reach the coarse
-    grid, which serves only queries with an empty surrounding.
+    Points sharing a position are first reduced to the smallest id, queries to their places. Cells of the grid are cut where
+    points are dense, and a place meets the points of the few uncut cells that can hold its nearest one.
     """
-    spots = points.groupBy("x", "y").agg(F.min("id").alias("point_id")).select(
-        "point_id", F.col("x").alias("_x"), F.col("y").alias("_y")
+    spots = store(points.filter("not isnan(x) and not isnan(y)").groupBy("x", "y").agg(F.min("id").alias("point_id")).select(
+        "point_id", F.col("x").alias("_x"), F.col("y").alias("_y")), "spots")
+    levels, leaves = grid_tree(spots, float(max_dist), most)
+    places = store(queries.filter("not isnan(x) and not isnan(y)").select("x", "y").distinct().withColumn("_q", F.monotonically_increasing_id()), "places")
+    distance = F.round(_length(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")), 9)
+    best = (
+        cells_in_reach(places, levels, float(max_dist), most).join(leaves, ["_level", "_cx", "_cy"])
+        .withColumn("distance", distance).filter(F.col("distance") < max_dist)
+        .groupBy("_q").agg(F.min(F.struct("distance", "point_id")).alias("_best"))
     )
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    dist = F.sqrt(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2))
-    found, left = None, queries
-    for level in levels:
-        size = max_dist / level
-        cells = spots.withColumn("_cx", F.floor(F.col("_x") / size)).withColumn("_cy", F.floor(F.col("_y") / size))
-        probes = (
-            left.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
-            .withColumn("_cx", F.floor(F.col("x") / size) + F.col("_dx"))
-            .withColumn("_cy", F.floor(F.col("y") / size) + F.col("_dy"))
-        )
-        hits = (
-            probes.join(cells, ["_cx", "_cy"]).withColumn("distance", F.round(dist, 9)).filter(F.col("distance") < size)
-            .groupBy("id").agg(F.min(F.struct("distance", "point_id")).alias("_best"))
-            .select("id", "_best.point_id", "_best.distance")
-        )
-        found = hits if found is None else found.unionByName(hits)
-        left = left.join(hits.select("id"), "id", "left_anti")
-    return found
+    hits = places.join(best, "_q").select("x", "y", "_best.point_id", "_best.distance")
+    return queries.select("id", "x", "y").join(hits, ["x", "y"]).select("id", "point_id", "distance")
 
 
 def passages_by_type(passages: DataFrame, run: str, passage_type: int) -> DataFrame:

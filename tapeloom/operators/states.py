@@ -151,38 +151,56 @@ def state_sequence(passages: DataFrame, page: int = 4096) -> DataFrame:
     )
 
 
-def likely_copies(items: DataFrame, sections: tuple[str, str], distance: int = 2) -> DataFrame:
-    """Titles of two sections on one date that differ by at most ``distance`` edits.
-
-    A string within ``d`` edits shares at least one of ``d + 1`` even pieces unchanged, shifted by at most
-    ``d``. Titles meet on (date, length, piece) only, so a busy date does not pair all its titles; equal
-    titles are reduced to one row before.
+def _deletions(word: Column, times: int) -> Column:
+    """All strings that ``word`` becomes by dropping at most so many characters."""
+    out = F.array(word)
+    for _ in range(times):
+        fewer = F.flatten(F.transform(out, lambda w: F.transform(
+            F.filter(F.sequence(F.lit(0), F.length(w)), lambda i: i < F.length(w)),
+            lambda i: F.concat(F.substring(w, F.lit(1), i), F.substring(w, i + 2, F.length(w))))))
+        out = F.array_distinct(F.concat(out, fewer))
+    return out
+
+
+def copy_candidates(titles: DataFrame, distance: int, gram: int = 2, shared: int = 2) -> DataFrame:
+    """``date, left_title, right_title`` that may be within ``distance`` edits; input has side, date, low, each once.
+
+    An edit destroys at most ``gram`` of a title's grams and moves the others by at most one place. So two titles of a date
+    have all but ``gram * distance`` grams in common, at most ``distance`` places apart; put in any fixed order, at least
+    ``shared`` of these are among the first ``gram * distance + shared`` of either title. The order is rarest first on that date, so what
+    all titles have in common (``tema numero``) brings nobody together. Titles too short for that meet on what is
+    left of them after at most ``distance`` deletions, of which a short title has few.
     """
-    titles = items.filter("date is not null and title is not null").select(
-        "section", "date", F.lower("title").alias("low")
-    ).distinct()
-    pieces = distance + 1
-    a = titles.filter(F.col("section") == sections[0]).select("date", F.col("low").alias("left_title"))
-    b = titles.filter(F.col("section") == sections[1]).select("date", F.col("low").alias("right_title"))
-    # Pieces of the left title at fixed starts; right titles offer every shift of those pieces.
-    n = F.length("left_title")
-    i = F.col("_i")
-    begin = F.floor(n * i / pieces)
-    left = a.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1)))).withColumn("_len", n.cast("long")).withColumn(
-        "_piece", F.substring("left_title", (begin + 1).cast("int"), (F.floor(n * (i + 1) / pieces) - begin).cast("int"))
-    )
-    m = F.length("right_title")
-    right = (
-        b.withColumn("_len", F.explode(F.sequence(F.greatest(m - distance, F.lit(0)), m + distance).cast("array<bigint>")))
-        .withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-        .withColumn("_shift", F.explode(F.sequence(F.lit(-distance), F.lit(distance))))
+    prefix = gram * distance + shared
+    short = prefix + gram - 2  # up to this length a title has fewer than ``prefix`` grams
+    size = F.length("low")
+    lists = titles.filter(size > short).withColumn("_g", F.transform(
+        F.sequence(F.lit(0), size - gram), lambda i: F.struct(F.substring(F.col("low"), i + 1, F.lit(gram)).alias("gram"), i.alias("at"))))
+    grams = lists.select("side", "date", "low", F.inline("_g"))
+    often = grams.groupBy("date", "gram").agg(F.count(F.lit(1)).alias("_often"))
+    first = grams.join(often, ["date", "gram"]).groupBy("side", "date", "low").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct("_often", "gram", "at"))), 1, prefix).alias("_first")  # a title's own grams
+    ).select("side", "date", "low", F.inline("_first")).drop("_often")
+    a, b = (first.filter(F.col("side") == s).select(
+        "date", "gram", F.col("low").alias(f"{name}_title"), F.col("at").alias(f"_{name}"), F.length("low").alias(f"_{name}_size"))
+        for s, name in enumerate(("left", "right")))
+    met = (
+        a.join(b, ["date", "gram"])
+        .filter((F.abs(F.col("_left") - F.col("_right")) <= distance) & (F.abs(F.col("_left_size") - F.col("_right_size")) <= distance))
+        .groupBy("date", "left_title", "right_title").agg(F.count_distinct("_left").alias("_shared"))
+        .filter(F.col("_shared") >= shared).drop("_shared")
     )
-    at = F.floor(F.col("_len") * i / pieces)
-    right = right.filter(at + F.col("_shift") >= 0).withColumn(
-        "_piece", F.substring("right_title", (at + F.col("_shift") + 1).cast("int"),
-                              (F.floor(F.col("_len") * (i + 1) / pieces) - at).cast("int"))
-    ).select("date", "right_title", "_len", "_i", "_piece").distinct()
-    met = left.join(right, ["date", "_len", "_i", "_piece"]).select("date", "left_title", "right_title").distinct()
+    cut = titles.filter(size <= short + distance).withColumn("_rest", F.explode(_deletions(F.col("low"), distance)))
+    c, d = (cut.filter(F.col("side") == s).select("date", "_rest", F.col("low").alias(f"{name}_title")) for s, name in enumerate(("left", "right")))
+    few = c.join(d, ["date", "_rest"]).filter(F.least(F.length("left_title"), F.length("right_title")) <= short)
+    return met.unionByName(few.select("date", "left_title", "right_title").distinct())
+
+
+def likely_copies(items: DataFrame, sections: tuple[str, str], distance: int = 2) -> DataFrame:
+    """Titles of two sections on one date that differ by at most ``distance`` edits; equal titles count once."""
+    side = F.explode(F.array_compact(F.array(*[F.when(F.col("section") == name, i) for i, name in enumerate(sections)])))
+    titles = items.filter("date is not null and title is not null").select(side.alias("side"), "date", F.lower("title").alias("low")).distinct()
+    met = copy_candidates(titles, distance)
     return met.withColumn("edits", F.levenshtein("left_title", "right_title")).filter(F.col("edits") <= distance)
 
 

@@ -64,3 +64,23 @@ def test_nearest_point_equals_brute_force(spark):
     got = {r.id: r.point_id for r in J.nearest_point(qs, pts, 0.5).collect()}
     d = np.round(np.sqrt(((q[:, None] - p[None]) ** 2).sum(-1)), 9)
     assert got == {i: int(d[i].argmin()) for i in range(len(q)) if d[i].min() < 0.5}
+
+
+def test_nearest_point_in_a_dense_cell(spark):
+    """100 000 points in one cell of the coarse grid, the queries far from most of them: cells are cut, few rows are joined, and the answers are exact."""
+    rng = np.random.default_rng(9)
+    xy = np.round(np.r_[rng.random((50_000, 2)) * 0.01, 0.5 + rng.random((49_990, 2)) * 0.4, np.full((10, 2), 0.25)], 6)
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "id long, x double, y double").repartition(6)
+    at = np.r_[rng.random((300, 2)), np.full((50, 2), 0.2), [[0.25, 0.25], [-0.4, 0.3], [5.0, 5.0], [0.0, 1.99]]]
+    qs = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)] + [(999, None, 1.0), (998, float("nan"), 0.1)], "id long, x double, y double")
+    got = {r.id: (r.point_id, r.distance) for r in J.nearest_point(qs, pts, 1.0).collect()}
+    for i, q in enumerate(at):
+        d = np.round(np.sqrt(((xy - q) ** 2).sum(axis=1)), 9)
+        assert got.get(i) == ((int(d.argmin()), d.min()) if d.min() < 1.0 else None)
+    spots = pts.groupBy("x", "y").agg(F.min("id").alias("point_id")).selectExpr("point_id", "x AS _x", "y AS _y")
+    levels, leaves = J.grid_tree(spots, 1.0, 64)
+    assert len(levels) > 3 and leaves.groupBy("_level", "_cx", "_cy").count().filter("count > 64").count() == 0
+    assert leaves.count() == spots.count()
+    places = qs.filter("id < 998").selectExpr("id AS _q", "x", "y")
+    joined = J.cells_in_reach(places, levels, 1.0, 64).join(leaves, ["_level", "_cx", "_cy"])
+    assert joined.count() < 354 * 64 * 12  # of 35 million pairs in the coarse cell
