@@ -259,10 +259,10 @@ def step_distances(indexed: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
         out = table.select(keep).append_column("distance", pa.array(dist, from_pandas=True))
         return out.filter(table.column("_core"))
 
-    return cut_lineage(map_groups(
+    return store(map_groups(
         rows, ["recording_id", "_chunk"], ["idx"], distances,
         "recording_id bigint, segment_id bigint, idx bigint, n bigint, distance double",
-    ))
+    ), "distances")
 
 
 def _next_start(far: np.ndarray, least: int, most: int, size: int) -> np.ndarray:
@@ -274,6 +274,28 @@ def _next_start(far: np.ndarray, least: int, most: int, size: int) -> np.ndarray
     return np.minimum(jump, np.arange(size) + max(least, most))
 
 
+def _last_of_walk(jump: np.ndarray) -> np.ndarray:
+    """For each row, the last group start of the walk that begins there, by doubling the steps."""
+    size = len(jump)
+    at = np.where(jump < size, np.minimum(jump, size - 1), np.arange(size))
+    while True:
+        further = at[at]
+        if (further == at).all():
+            return at
+        at = further
+
+
+def _walk(jump: np.ndarray, first: int) -> np.ndarray:
+    """Which rows the walk from ``first`` starts groups at, by doubling the steps."""
+    size = len(jump)
+    step, on = np.append(np.minimum(jump, size), size), np.zeros(size + 1, dtype=bool)
+    on[min(first, size)] = True
+    while (step < size).any():
+        on[step[on]] = True
+        step = step[step]
+    return on[:size]
+
+
 def _first_start(far: np.ndarray, carried: int, least: int, most: int) -> int:
     """First group start in a chunk entered with ``carried`` rows already in the open group."""
     size = len(far)
@@ -298,7 +320,8 @@ def change_points(
 
     The walk carries only the length of the open group, at most ``max(least, most)`` values. Each chunk
     therefore first works out where it ends for every possible length it may be entered with; a scan
-    over those short tables gives each chunk its real entry, and all chunks then cut in parallel.
+    over those short tables gives each chunk its real entry, and all chunks then cut in parallel. Only the first rows of
+    groups go on from there: joining, splitting and numbering are steps on them, and segments get their number by one join.
     """
     least = max(1, least)
     limit = max(least, most)
@@ -311,9 +334,7 @@ def change_points(
         for s, e in zip(starts, ends):
             size, local = e - s, far[s:e]
             jump = _next_start(local, least, most, size)
-            tail = np.empty(size, dtype="i8")
-            for p in range(size - 1, -1, -1):
-                tail[p] = size - p if jump[p] >= size else tail[jump[p]]
+            tail = size - _last_of_walk(jump)
             row = []
             for carried in range(limit + 1):
                 first = _first_start(local, carried, least, most)
@@ -348,59 +369,44 @@ def change_points(
 
     def cut(table: pa.Table, starts: np.ndarray) -> pa.Table:
         far, ends = far_of(table), np.r_[starts[1:], table.num_rows]
-        begins = np.zeros(table.num_rows, dtype="i4")
         entry = table.column("carried").to_numpy()
-        for s, e in zip(starts, ends):
-            local, size = far[s:e], e - s
-            jump = _next_start(local, least, most, size)
-            p = _first_start(local, int(entry[s]), least, most)
-            while p < size:
-                begins[s + p] = 1
-                p = int(jump[p])
-        return table.select(["recording_id", "segment_id", "idx", "n", "distance"]).append_column("_begin", pa.array(begins))
-
-    schema = "recording_id bigint, segment_id bigint, idx bigint, n bigint, distance double, _begin int"
-    entered = rows.join(carried, ["recording_id", "_chunk"], "left").fillna({"carried": 0})
-    begun = cut_lineage(map_groups(entered, ["recording_id", "_chunk"], ["idx"], cut, schema))
-    folded = running_total(begun, ["recording_id"], "idx", "segment_id", F.col("_begin"), float(chunk), "grp").drop("_begin")
-    return _merge_and_split(cut_lineage(folded), least, most)
-
-
-def _merge_and_split(folded: DataFrame, least: int, most: int) -> DataFrame:
-    """Close the walk: only the last group can be short, and groups are at most a few dozen rows."""
-    sizes = folded.groupBy("recording_id", "grp").agg(F.count(F.lit(1)).alias("_size"))
-    lasts = sizes.groupBy("recording_id").agg(F.max_by(F.struct("grp", "_size"), "grp").alias("_last"))
-    short = lasts.filter(F.col("_last._size") < least).filter("_last.grp > 1").select(
-        "recording_id", F.col("_last.grp").alias("grp"), F.lit(1).alias("_joins")
-    )
-    merged = folded.join(short, ["recording_id", "grp"], "left").withColumn(
-        "grp", F.col("grp") - F.coalesce("_joins", F.lit(0))
-    ).drop("_joins")
+        begins = np.concatenate([
+            _walk(_next_start(far[s:e], least, most, e - s), _first_start(far[s:e], int(entry[s]), least, most)) for s, e in zip(starts, ends)
+        ])
+        return table.select(["recording_id", "idx", "n"]).rename_columns(["recording_id", "start", "n"]).filter(pa.array(begins))
 
-    inner = F.col("idx") > F.col("_from")
-    bounds = merged.groupBy("recording_id", "grp").agg(
-        F.min("idx").alias("_from"), F.count(F.lit(1)).alias("_size")
-    )
-    over = bounds.filter(F.col("_size") > most)
-    splits = (
-        merged.filter(F.col("n") > least).join(over, ["recording_id", "grp"]).filter(inner)
-        .groupBy("recording_id", "grp")
-        .agg(F.max_by("idx", F.struct(F.round("distance", 9), -F.col("idx"))).alias("_split"))
-    )
-    halved = merged.join(splits, ["recording_id", "grp"], "left")
-    begins = (
-        halved.withColumn("_half", F.coalesce((F.col("idx") >= F.col("_split")).cast("int"), F.lit(0)))
-        .withColumn("grp", F.struct("grp", "_half"))
-    )
-    begins = cut_lineage(begins.select("recording_id", "segment_id", "idx", "n", "distance", "grp"))
-    # Renumber from 0 without gaps: at most one extra group per split before it.
-    heads = begins.groupBy("recording_id", "grp").agg(F.min("idx").alias("_from"))
-    numbered = running_total(
-        heads, ["recording_id"], "_from", "_from", F.lit(1), float(CHUNK_ROWS), "_number"
-    ).select("recording_id", "grp", (F.col("_number") - 1).cast("long").alias("_number"))
-    return begins.join(numbered, ["recording_id", "grp"]).select(
-        "recording_id", "segment_id", "idx", "n", "distance", F.col("_number").alias("grp")
-    )
+    entered = rows.select("recording_id", "_chunk", "idx", "n", "distance").join(carried, ["recording_id", "_chunk"], "left").fillna({"carried": 0})
+    heads = store(map_groups(entered, ["recording_id", "_chunk"], ["idx"], cut, "recording_id bigint, start bigint, n bigint"), "groups")
+    return _numbered(distances, _merge_and_split(heads, distances, least, most, chunk), chunk)
+
+
+def _merge_and_split(heads: DataFrame, distances: DataFrame, least: int, most: int, chunk: int) -> DataFrame:
+    """First row and size of each group once the walk is closed.
+
+    All groups but the last have ``least`` rows, so a start closer than that to the end is a short last group; the group
+    before it ends with the recording. Groups of more than ``most`` rows look at their few inner distances.
+    """
+    keys, groups = ["recording_id"], ["recording_id", "start"]
+    linked = neighbour(heads, keys, "start", "start", ["start"], float(chunk), "_next", ahead=True)
+    end = F.coalesce(F.when(F.col("n") - F.col("_next.start") >= least, F.col("_next.start")), F.col("n"))
+    kept = linked.filter((F.col("start") == 0) | (F.col("n") - F.col("start") >= least)).select(*groups, "n", (end - F.col("start")).alias("size"))
+    inner = kept.filter((F.col("size") > most) & (F.col("n") > least)).select(
+        *groups, F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("size") - 1)).alias("idx"))
+    splits = inner.join(distances.select("recording_id", "idx", "distance"), ["recording_id", "idx"]).groupBy(*groups).agg(
+        F.max_by("idx", F.struct(F.round("distance", 9), -F.col("idx"))).alias("_split"))
+    whole = F.array(F.struct(F.col("start"), F.col("size")))
+    halves = F.array(F.struct(F.col("start"), (F.col("_split") - F.col("start")).alias("size")),
+                     F.struct(F.col("_split").alias("start"), (F.col("start") + F.col("size") - F.col("_split")).alias("size")))
+    parts = kept.join(splits, groups, "left").select("recording_id", F.explode(F.when(F.col("_split").isNull(), whole).otherwise(halves)).alias("_p"))
+    return parts.select("recording_id", "_p.start", "_p.size")
+
+
+def _numbered(distances: DataFrame, groups: DataFrame, chunk: int) -> DataFrame:
+    """Segments with ``grp``: groups are numbered from 0 in a recording, and each is a few dozen rows."""
+    numbered = running_total(groups, ["recording_id"], "start", "start", F.lit(1), float(chunk), "_number")
+    places = numbered.select("recording_id", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("size") - 1)).alias("idx"),
+                             (F.col("_number") - 1).cast("long").alias("grp"))
+    return distances.join(places, ["recording_id", "idx"]).select("recording_id", "segment_id", "idx", "n", "distance", "grp")
 
 
 def passage_points(
@@ -430,7 +436,7 @@ def passage_points(
 
 def number_points(points: DataFrame) -> DataFrame:
     """Q8: consecutive ids over the passages that were kept."""
-    points = cut_lineage(points)
+    points = store(points, "points")
     kept = running_total(
         points, ["recording_id"], "grp", "grp", F.lit(1), float(CHUNK_ROWS), "_at"
     ).withColumn("_at", (F.col("_at") - 1).cast("long"))
