@@ -37,7 +37,7 @@ def st2(a: Archive):
         return recs.select(F.col("id").alias("recording_id"), F.lit(None).cast("string").alias("error"))
 
     ST.run_new_recordings(stream, out, f"{out}/checkpoint", "clap", "1", F.lit("2024-01-01").cast("timestamp_ntz"), work)
-    return a.spark.read.parquet(f"{out}/log").select("recording_id", "step", "status", "error_message")
+    return ST.step_log(a.spark, out).newest().select("recording_id", "step", "status", "error_message")
 
 
 @plan("ST3_decision_stream")
@@ -45,8 +45,9 @@ def st3(a: Archive):
     out = _fresh(a)
     stream = a.view("decision_log", orders=ST.read_table_stream(a.spark, a.folder, "orders")).filter(F.col("kind").isin(ALL))
     ST.run_decisions(stream, a.recordings, a.sessions, a.songs, a.candidates, out, f"{out}/checkpoint")
-    recs = ST.newest_version(a.spark, out, "recordings")
-    fresh = ST.newest_version(a.spark, out, "songs").filter("title LIKE 'Jam — %'").select(F.col("id").alias("song_id"), F.lit("new jam").alias("_new"))
+    tables = ST.decision_tables(a.spark, out, a.recordings, a.songs, a.candidates)
+    recs = tables["recordings"].newest()
+    fresh = tables["songs"].newest().filter("title LIKE 'Jam — %'").select(F.col("id").alias("song_id"), F.lit("new jam").alias("_new"))
     return recs.join(fresh, "song_id", "left").select(
         "id", F.coalesce("_new", F.col("song_id").cast("string")).alias("song"), "content_type", "content_type_source")
 

@@ -56,12 +56,16 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by ``store`` that nothing will read again."""
     folder = getattr(df, "_folder", None)
     if folder:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        delete_folder(df.sparkSession, folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

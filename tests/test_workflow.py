@@ -139,14 +139,68 @@ def test_decision_stream_over_several_batches(spark, tmp_path):
     songs = spark.createDataFrame([(3, "t", "t", "original")], "id long, title string, slug string, song_type string")
     stream = ST.read_table_stream(spark, folder, "part-", maxFilesPerTrigger=1)
     ST.run_decisions(stream, r, sessions, songs, c, str(tmp_path / "out"), str(tmp_path / "cp"))
-    out = {x.id: x for x in ST.newest_version(spark, str(tmp_path / "out"), "recordings").collect()}
+    tables = ST.decision_tables(spark, str(tmp_path / "out"), r, songs, c)
+    out = {x.id: x for x in tables["recordings"].newest().collect()}
     for x in decs:
         step(x, recs, cands)
+    states = {x.id: x.status for x in tables["candidates"].newest().collect()}
+    assert states == {i: x["status"] for i, x in cands.items()}
     for i, x in recs.items():
         song = "new" if out[i].song_id is not None and out[i].song_id > 3 else out[i].song_id
         assert (song, out[i].content_type) == (x["song"], x["type"]), i
 
 
+def test_a_batch_reads_its_buckets_only_and_can_be_repeated(spark, tmp_path, monkeypatch):
+    """Files read do not grow with the number of batches, old folders go, and a batch that runs again leaves the same tables."""
+    monkeypatch.setattr(ST, "BUCKETS", 4)
+    recs, cands, decs = make(5, 60)
+    r, c, d = frames(spark, recs, cands, decs)
+    sessions = spark.createDataFrame([], "id long, date string")
+    songs = spark.createDataFrame([(3, "t", "t", "original")], "id long, title string, slug string, song_type string")
+    tables = ST.decision_tables(spark, str(tmp_path), r, songs, c)
+
+    def rows(name):
+        return sorted(map(str, tables[name].newest().collect()))
+
+    read = []
+    for part in range(4):
+        batch = d.filter(F.floor(F.col("seq") / 15) == part)
+        ST.apply_decisions(batch, part, sessions, tables)
+        after = {n: rows(n) for n in tables}
+        read.append(len(tables["recordings"].read(part + 1).inputFiles()))
+        if part in (0, 2):
+            ST.apply_decisions(batch, part, sessions, tables)
+            assert {n: rows(n) for n in tables} == after
+    assert len(set(read)) == 1 and read[0] <= ST.BUCKETS
+    for name in ("recordings", "candidates", "songs"):
+        assert len(list((tmp_path / name / "lists").iterdir())) <= 3
+        folders = list((tmp_path / name / "rows").glob("batch=*/bucket=*"))
+        assert len(folders) <= 2 * ST.BUCKETS and len(folders) <= 2 * len(tables[name].paths(4))
+    for x in decs:
+        step(x, recs, cands)
+    out = {x.id: x for x in tables["recordings"].newest().collect()}
+    assert all(out[i].content_type == x["type"] for i, x in recs.items())
+
+
+def test_new_recordings_are_done_once_over_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKETS", 4)
+    recs = spark.createDataFrame([(i, None if i == 3 else "a.mp3", 30.0, "p") for i in range(9)], "id long, audio_path string, duration_seconds double, source string")
+    seen = []
+
+    def work(rows):
+        seen.append(sorted(x.id for x in rows.collect()))
+        return rows.select(F.col("id").alias("recording_id"), F.when(F.col("id") == 5, "broken").alias("error"))
+
+    at = F.lit("2024-01-01").cast("timestamp_ntz")
+    for batch_id, ids in enumerate([[0, 1, 2, 3], [2, 3, 4, 5], [4, 5, 6, 7, 8], [0, 1, 2, 3, 4, 5, 6, 7, 8]]):
+        for _ in range(2):  # each batch runs twice and finds the same work
+            ST.process_new_recordings(recs.filter(F.col("id").isin(ids)), batch_id, str(tmp_path), "clap", "1", at, work)
+    assert seen[::2] == seen[1::2] == [[0, 1, 2], [4, 5], [5, 6, 7, 8], [5]]
+    log = ST.step_log(spark, str(tmp_path)).newest()
+    done = {x.recording_id: x["count"] for x in log.filter("status = 'success'").groupBy("recording_id").count().collect()}
+    assert done == {i: 1 for i in range(9) if i not in (3, 5)}
+
+
 def test_stream_of_windows_over_several_batches(spark, tmp_path):
     rows = [(k, i, float(i * k)) for k in (1, 2) for i in range(90)]
     df = spark.createDataFrame(rows, "k long, i long, v double").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("i")))
