@@ -157,6 +157,11 @@ def output_path(recording_id: Column, label: Column) -> Column:
     return F.concat(F.lit("recordings/"), recording_id.cast("string"), tail, F.lit(".mp3"))
 
 
+def renamed_file(audio_path: Column, recording_id: Column, slug: Column) -> Column:
+    """The file named by its recording and song, in the folder it lies in; null stays null."""
+    return F.concat(F.regexp_replace(audio_path, "[^/]*$", ""), recording_id.cast("string"), F.lit("_"), slug, F.lit(".mp3"))
+
+
 def is_bare_id(audio_path: Column, recording_id: Column) -> Column:
     """The file is still named by its id alone."""
     return F.coalesce(

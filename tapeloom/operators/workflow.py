@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.labels import ineligible, invalid_classification
-from tapeloom.functions.text import path_matches, slugify, slugify_folded
+from tapeloom.functions.text import path_matches, renamed_file, slugify, slugify_folded
 from tapeloom.operators.lookups import needs_processing, nearest_start
 from tapeloom.operators.ordered import carry_forward, running_total
 from tapeloom.operators.series import series_cut
@@ -186,7 +186,12 @@ def _last(decisions: DataFrame, when: Column, cols: list[str], out: str) -> Colu
 
 
 def resolve(decisions: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Valid decisions with the recording and song of their candidate; those on unknown candidates drop out."""
+    """Valid decisions with the recording and song of their candidate; those on unknown candidates drop out.
+
+    What follows from decisions takes them resolved or not: resolve a batch once and store it where several tables change.
+    """
+    if "candidate_song" in decisions.columns:
+        return decisions
     decisions, _ = check_decisions(decisions)
     picked = candidates.select(
         F.col("id").alias("candidate_id"), F.col("recording_id").alias("_owner"), F.col("song_id").alias("candidate_song")
@@ -228,7 +233,7 @@ def decision_jams(decisions: DataFrame, recordings: DataFrame, candidates: DataF
 
 
 def apply_to_recordings(
-    recordings: DataFrame, decisions: DataFrame, candidates: DataFrame, jam_songs: DataFrame
+    recordings: DataFrame, decisions: DataFrame, candidates: DataFrame, jam_songs: DataFrame, songs: DataFrame | None = None
 ) -> DataFrame:
     """Recordings after all decisions, applied in ``seq`` order.
 
@@ -236,6 +241,9 @@ def apply_to_recordings(
     recording and one join. ``unassign`` clears the type only if it is song_take at that moment, and a
     jam gets a song only if it has none; both look at the last outright setter. ``jam_songs`` has seq,
     recording_id and the new song's id (from ``decision_jams`` and ``create_jams``).
+
+    With ``songs`` (id, slug) a recording's file is named by its id and song as soon as a decision gives it a song that exists; it
+    keeps that name when the song is taken away.
     """
     new = jam_songs.select("seq", F.col("id").alias("_jam_song"))
     kind = F.col("kind")
@@ -249,6 +257,11 @@ def apply_to_recordings(
                     .when((kind == "classify") & (F.col("content_type") == "song_take"), F.col("song_id"))
                     .when(kind == "classify", F.col("_jam_song")))
     )
+    if songs is not None:
+        every = songs.select("id", "slug").unionByName(jam_songs.select("id", "slug"))
+        known = known.join(every.select(F.col("id").alias("_song"), F.col("slug").alias("_slug")), "_song", "left")
+    else:
+        known = known.withColumn("_slug", F.lit(None).cast("string"))
     sets_type = kind != "unassign"
     sets_song = (
         kind.isin("assign", "accept", "unassign", "revert")
@@ -258,6 +271,7 @@ def apply_to_recordings(
         _last(known, sets_type, ["kind", "_type"], "_t"),
         _last(known, sets_song, ["_song"], "_s"),
         F.max(F.when(kind == "unassign", F.col("seq"))).alias("_unassigned"),
+        F.max_by("_slug", F.when(F.col("_slug").isNotNull(), F.col("seq"))).alias("_named"),
     )
     joined = recordings.join(folded, "id", "left")
     typed = F.col("_t.seq").isNotNull()
@@ -270,6 +284,7 @@ def apply_to_recordings(
         (F.when(~cleared, base_type).alias(c) if c == "content_type"
          else F.when(~cleared, base_source).alias(c) if c == "content_type_source"
          else F.when(F.col("_s.seq").isNotNull(), F.col("_s._song")).otherwise(F.col(c)).alias(c) if c == "song_id"
+         else F.when(F.col("_named").isNotNull(), renamed_file(F.col(c), F.col("id"), F.col("_named"))).otherwise(F.col(c)).alias(c) if c == "audio_path"
          else F.col(c))
         for c in recordings.columns
     ])
@@ -287,7 +302,7 @@ def apply_to_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFram
     resets = owned.filter(kind.isin("accept", "unassign", "revert")).groupBy("recording_id").agg(
         F.max_by(F.struct("seq", "kind", "candidate_id", "at"), "seq").alias("_reset")
     )
-    rejects = decisions.filter(kind == "reject").groupBy(F.col("candidate_id").alias("id")).agg(
+    rejects = owned.filter(kind == "reject").groupBy(F.col("candidate_id").alias("id")).agg(
         F.max_by(F.struct("seq", "at"), "seq").alias("_reject")
     )
     assigns = (
@@ -318,6 +333,18 @@ def apply_to_candidates(candidates: DataFrame, decisions: DataFrame) -> DataFram
     ])
 
 
+def remaining_candidates(candidates: DataFrame, decisions: DataFrame, songs: DataFrame) -> DataFrame:
+    """The answer to rejections: what is left of the candidates of each recording one was rejected of, with titles.
+
+    ``candidates`` are those after the decisions (``apply_to_candidates``).
+    """
+    rejected = decisions.filter("kind = 'reject'").select(F.col("candidate_id").alias("id")).distinct()
+    asked = candidates.join(rejected, "id", "left_semi").select("recording_id").distinct()
+    titles = songs.select(F.col("id").alias("song_id"), F.col("title").alias("song_title"))
+    left = candidates.filter("status <> 'rejected'").join(asked, "recording_id", "left_semi")
+    return left.join(titles, "song_id", "left").select(*candidates.columns, "song_title")
+
+
 def batch_classified(decisions: DataFrame, recordings: DataFrame) -> DataFrame:
     """Number of recordings that exist, of those listed with a valid type."""
     ids = check_decisions(decisions)[0].filter("kind = 'batch_classify'").select(F.col("recording_id").alias("id"))

@@ -7,18 +7,28 @@ from pyspark.sql import functions as F
 from tapeloom.operators import workflow as W
 from tapeloom.operators.summaries import outcome_summary
 from tapeloom.plans.base import Archive, plan
+from tapeloom.session import store
 
 
 REC = ["id", "song_id", "content_type", "content_type_source"]
 
 
+def _decided(a: Archive, kinds: list[str]):
+    """Decisions of some kinds, resolved once for all that follows from them."""
+    return store(W.resolve(a.decisions.filter(F.col("kind").isin(kinds)), a.candidates), "decisions")
+
+
 def _applied(a: Archive, kinds: list[str]):
-    d = a.decisions.filter(F.col("kind").isin(kinds))
+    d = _decided(a, kinds)
     jams = W.decision_jams(d, a.recordings, a.candidates)
     ses = a.recordings.select(F.col("id").alias("recording_id"), "session_id").join(
         a.sessions.select(F.col("id").alias("session_id"), F.col("date").alias("session_date")), "session_id", "left")
     new = W.create_jams(jams.join(ses, "recording_id"), a.songs, "session_date", "seq")
-    return d, new, W.apply_to_recordings(a.recordings, d, a.candidates, new)
+    return d, new, W.apply_to_recordings(a.recordings, d, a.candidates, new.withColumn("slug", F.lit("new-jam")), a.songs)
+
+
+# A recording's file after the last decision that named an existing song.
+NAMED = "CASE WHEN {slug} IS NULL OR r.audio_path IS NULL THEN r.audio_path ELSE concat('recordings/', r.id, '_', {slug}, '.mp3') END AS audio_path"
 
 
 # One decision kind at a time: what the last such decision of each recording leaves behind.
@@ -59,13 +69,15 @@ def p12(a: Archive):
 
 
 @plan("W3_assign_song", f"""SELECT r.id, coalesce(l.song_id, r.song_id) AS song_id, CASE WHEN l.seq IS NOT NULL THEN 'song_take' ELSE r.content_type END AS content_type,
- CASE WHEN l.seq IS NOT NULL THEN 'human' ELSE r.content_type_source END AS content_type_source FROM recordings r LEFT JOIN {LAST.format(kind='assign')} l ON l.recording_id = r.id""")
+ CASE WHEN l.seq IS NOT NULL THEN 'human' ELSE r.content_type_source END AS content_type_source, {NAMED.format(slug='p.slug')}
+ FROM recordings r LEFT JOIN {LAST.format(kind='assign')} l ON l.recording_id = r.id LEFT JOIN (SELECT d.recording_id, s.slug FROM decisions d JOIN songs s ON s.id = d.song_id
+ WHERE kind = 'assign' QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY seq DESC) = 1) p ON p.recording_id = r.id""")
 def w3(a: Archive):
-    return _applied(a, ["assign"])[2].select(*REC)
+    return _applied(a, ["assign"])[2].select(*REC, "audio_path")
 
 
 def _statuses(a: Archive, kinds: list[str]):
-    out = W.apply_to_candidates(a.candidates, a.decisions.filter(F.col("kind").isin(kinds)))
+    out = W.apply_to_candidates(a.candidates, _decided(a, kinds))
     return out.select("id", "status", F.date_format("reviewed_at", "yyyy-MM-dd").alias("reviewed"))
 
 
@@ -88,10 +100,12 @@ def w4b(a: Archive):
 
 
 @plan("W5_accept_recordings", f"""SELECT r.id, CASE WHEN l.seq IS NOT NULL THEN c.song_id ELSE r.song_id END AS song_id, CASE WHEN l.seq IS NOT NULL THEN 'song_take' ELSE r.content_type END AS content_type,
- CASE WHEN l.seq IS NOT NULL THEN 'human' ELSE r.content_type_source END AS content_type_source FROM recordings r LEFT JOIN {KNOWN.format(kind='accept')} l ON l.recording_id = r.id
- LEFT JOIN candidates c ON c.id = l.candidate_id""")
+ CASE WHEN l.seq IS NOT NULL THEN 'human' ELSE r.content_type_source END AS content_type_source, {NAMED.format(slug='p.slug')}
+ FROM recordings r LEFT JOIN {KNOWN.format(kind='accept')} l ON l.recording_id = r.id
+ LEFT JOIN candidates c ON c.id = l.candidate_id LEFT JOIN (SELECT k.recording_id, s.slug FROM decisions d JOIN candidates k ON k.id = d.candidate_id JOIN songs s ON s.id = k.song_id
+ WHERE kind = 'accept' QUALIFY row_number() OVER (PARTITION BY k.recording_id ORDER BY seq DESC) = 1) p ON p.recording_id = r.id""")
 def w5(a: Archive):
-    return _applied(a, ["accept"])[2].select(*REC)
+    return _applied(a, ["accept"])[2].select(*REC, "audio_path")
 
 
 @plan("W5_accept_candidates", f"""SELECT c.id, CASE WHEN l.seq IS NULL THEN c.status WHEN l.candidate_id = c.id THEN 'accepted' ELSE 'rejected' END AS status,
@@ -106,6 +120,16 @@ def w6(a: Archive):
     return _statuses(a, ["reject"])
 
 
+@plan("W6_remaining_candidates", """WITH after AS (SELECT c.id, c.recording_id, c.song_id, c.confidence, c.rank,
+ CASE WHEN c.id IN (SELECT candidate_id FROM decisions WHERE kind = 'reject') THEN 'rejected' ELSE c.status END AS status FROM candidates c)
+ SELECT x.id, x.recording_id, x.song_id, s.title AS song_title, x.confidence, x.rank, x.status FROM after x LEFT JOIN songs s ON s.id = x.song_id WHERE x.status <> 'rejected'
+ AND x.recording_id IN (SELECT recording_id FROM candidates WHERE id IN (SELECT candidate_id FROM decisions WHERE kind = 'reject'))""")
+def w6_remaining(a: Archive):
+    d = _decided(a, ["reject"])
+    out = W.remaining_candidates(W.apply_to_candidates(a.candidates, d), d, a.songs)
+    return out.select("id", "recording_id", "song_id", "song_title", "confidence", "rank", "status")
+
+
 @plan("W7_revert", f"""SELECT r.id, CASE WHEN l.seq IS NULL THEN r.song_id END AS song_id, CASE WHEN l.seq IS NULL THEN r.content_type END AS content_type,
  CASE WHEN l.seq IS NULL THEN r.content_type_source END AS content_type_source FROM recordings r LEFT JOIN {LAST.format(kind='revert')} l ON l.recording_id = r.id""")
 def w7(a: Archive):
@@ -122,20 +146,22 @@ ALL = ["classify", "batch_classify", "assign", "unassign", "accept", "reject", "
 
 
 # All kinds at once: the state walked through every decision in order, one step per row.
-@plan("W_mixed_decisions", """WITH d AS (SELECT d.*, c.song_id AS csong, row_number() OVER (PARTITION BY d.recording_id ORDER BY seq) AS k FROM decisions d LEFT JOIN candidates c ON c.id = d.candidate_id
- WHERE d.kind IN ('classify', 'batch_classify', 'assign', 'unassign', 'revert') OR d.kind = 'accept' AND c.id IS NOT NULL),
- walk AS (SELECT r.id, CAST(0 AS BIGINT) AS k, CAST(r.song_id AS STRING) AS song, r.content_type, r.content_type_source FROM recordings r
+@plan("W_mixed_decisions", """WITH d AS (SELECT d.*, c.song_id AS csong, s.slug, row_number() OVER (PARTITION BY d.recording_id ORDER BY seq) AS k FROM decisions d LEFT JOIN candidates c ON c.id = d.candidate_id
+ LEFT JOIN songs s ON s.id = CASE WHEN d.kind = 'accept' THEN c.song_id ELSE d.song_id END WHERE d.kind IN ('classify', 'batch_classify', 'assign', 'unassign', 'revert') OR d.kind = 'accept' AND c.id IS NOT NULL),
+ walk AS (SELECT r.id, CAST(0 AS BIGINT) AS k, CAST(r.song_id AS STRING) AS song, r.content_type, r.content_type_source, r.audio_path FROM recordings r
  UNION ALL SELECT w.id, d.k, CASE WHEN kind IN ('unassign', 'revert') THEN NULL WHEN kind = 'assign' THEN CAST(d.song_id AS STRING) WHEN kind = 'accept' THEN CAST(d.csong AS STRING)
   WHEN kind = 'classify' AND d.content_type = 'song_take' THEN CAST(d.song_id AS STRING) WHEN kind = 'classify' AND d.content_type = 'jam' THEN coalesce(w.song, 'new jam') ELSE w.song END,
   CASE WHEN kind IN ('assign', 'accept') THEN 'song_take' WHEN kind = 'revert' THEN NULL WHEN kind = 'unassign' THEN nullif(w.content_type, 'song_take') ELSE d.content_type END,
-  CASE WHEN kind = 'revert' THEN NULL WHEN kind = 'unassign' THEN CASE WHEN w.content_type = 'song_take' THEN NULL ELSE w.content_type_source END ELSE 'human' END
+  CASE WHEN kind = 'revert' THEN NULL WHEN kind = 'unassign' THEN CASE WHEN w.content_type = 'song_take' THEN NULL ELSE w.content_type_source END ELSE 'human' END,
+  CASE WHEN w.audio_path IS NULL THEN NULL WHEN kind = 'classify' AND d.content_type = 'jam' AND w.song IS NULL THEN concat('recordings/', w.id, '_new-jam.mp3')
+   WHEN d.slug IS NOT NULL AND (kind IN ('assign', 'accept') OR kind = 'classify' AND d.content_type = 'song_take') THEN concat('recordings/', w.id, '_', d.slug, '.mp3') ELSE w.audio_path END
   FROM walk w JOIN d ON d.recording_id = w.id AND d.k = w.k + 1)
- SELECT id, song, content_type, content_type_source FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1""")
+ SELECT id, song, content_type, content_type_source, audio_path FROM walk QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1""")
 def w_mixed(a: Archive):
     _, new, recs = _applied(a, ALL)
     fresh = new.select(F.col("id").alias("song_id"), F.lit("new jam").alias("_new"))
     return recs.join(fresh, "song_id", "left").select(
-        "id", F.coalesce("_new", F.col("song_id").cast("string")).alias("song"), "content_type", "content_type_source")
+        "id", F.coalesce("_new", F.col("song_id").cast("string")).alias("song"), "content_type", "content_type_source", "audio_path")
 
 
 @plan("W_mixed_candidates", """WITH d AS (SELECT d.*, row_number() OVER (PARTITION BY d.recording_id ORDER BY seq) AS k FROM decisions d

@@ -49,7 +49,8 @@ def st3(a: Archive):
     recs = tables["recordings"].newest()
     fresh = tables["songs"].newest().filter("title LIKE 'Jam — %'").select(F.col("id").alias("song_id"), F.lit("new jam").alias("_new"))
     return recs.join(fresh, "song_id", "left").select(
-        "id", F.coalesce("_new", F.col("song_id").cast("string")).alias("song"), "content_type", "content_type_source")
+        "id", F.coalesce("_new", F.col("song_id").cast("string")).alias("song"), "content_type", "content_type_source",
+        F.regexp_replace("audio_path", r"_jam-[^/]*\.mp3$", "_new-jam.mp3").alias("audio_path"))
 
 
 # The stream must end where the batch does: same twin.

@@ -13,8 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.operators.workflow import apply_to_candidates, apply_to_recordings, create_jams, decision_jams, run_step
-from tapeloom.session import delete_folder
+from tapeloom.operators.workflow import apply_to_candidates, apply_to_recordings, create_jams, decision_jams, resolve, run_step
+from tapeloom.session import delete_folder, discard, store
 
 BUCKETS = 64
 LOG = "recording_id long, step string, version string, completed_at timestamp_ntz, status string, error_message string"
@@ -182,16 +182,18 @@ def apply_decisions(batch: DataFrame, batch_id: int, sessions: DataFrame, tables
         owners.join(batch.select(F.col("candidate_id").alias("id")), "id", "left_semi").select("recording_id"))
     touched = tables["recordings"].of(about)
     recs, cands, known = tables["recordings"].read(batch_id, touched), tables["candidates"].read(batch_id, touched), tables["songs"].read(batch_id)
+    batch = store(resolve(batch, cands), "decisions")
     jams = decision_jams(batch, recs, cands)
     dated = recs.select(F.col("id").alias("recording_id"), "session_id").join(
         sessions.select(F.col("id").alias("session_id"), F.col("date").alias("session_date")), "session_id", "left"
     )
     new = create_jams(jams.join(dated, "recording_id"), known, "session_date", "seq")
-    tables["recordings"].write(batch_id, apply_to_recordings(recs, batch, cands, new), touched)
+    tables["recordings"].write(batch_id, apply_to_recordings(recs, batch, cands, new, known), touched)
     tables["candidates"].write(batch_id, apply_to_candidates(cands, batch), touched)
     created = tables["songs"].of(new.select("id"))
     grown = tables["songs"].read(batch_id, created).unionByName(new.select("id", "title", "slug", "song_type"), allowMissingColumns=True)
     tables["songs"].write(batch_id, grown, created)
+    discard(batch)
 
 
 def run_decisions(

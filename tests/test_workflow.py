@@ -129,6 +129,26 @@ def test_decisions_in_any_mix(spark):
     assert states == {i: (x["status"], x["at"]) for i, x in cands.items()}
 
 
+def test_files_follow_the_last_song_that_exists(spark):
+    """Named by assign, accept, classify and a new jam; a song that does not exist, unassign and revert leave the name; null stays null."""
+    recs = spark.createDataFrame([(i, None, None, None, None, None if i == 6 else f"recordings/x/{i}.mp3") for i in range(1, 9)], RECS + ", audio_path string")
+    cands = spark.createDataFrame([(40, 4, 2, "pending", None), (41, 4, 1, "pending", None)], CANDS)
+    songs = spark.createDataFrame([(1, "one"), (2, "two")], "id long, slug string")
+    log = [(1, "assign", 1, 1, None, None), (2, "assign", 1, 9, None, None), (3, "classify", 2, 2, None, "song_take"), (4, "unassign", 2, None, None, None),
+           (5, "classify", 3, None, None, "jam"), (6, "accept", None, None, 40, None), (7, "assign", 5, 1, None, None), (8, "revert", 5, None, None, None),
+           (9, "assign", 5, 2, None, None), (10, "assign", 6, 1, None, None), (11, "classify", 7, None, None, "banter"), (12, "reject", None, None, 41, None)]
+    decs = spark.createDataFrame([(*x, None, None) for x in log], DECS)
+    done = W.resolve(decs, cands)
+    assert sorted(map(tuple, W.resolve(done, cands).collect()), key=str) == sorted(map(tuple, done.collect()), key=str)
+    jams = W.decision_jams(done, recs, cands).withColumn("id", F.lit(50).cast("long")).withColumn("slug", F.lit("jam"))
+    out = {x.id: x.audio_path for x in W.apply_to_recordings(recs, done, cands, jams, songs).collect()}
+    names = {1: "1_one", 2: "2_two", 3: "3_jam", 4: "4_two", 5: "5_two", 7: "7", 8: "8"}
+    assert out == {i: f"recordings/x/{names[i]}.mp3" if i != 6 else None for i in range(1, 9)}
+    after = W.apply_to_candidates(cands, done)
+    left = W.remaining_candidates(after, done, songs.withColumn("title", F.upper("slug"))).collect()
+    assert [(x.id, x.status, x.song_title) for x in left] == [(40, "accepted", "TWO")]
+
+
 def test_decision_stream_over_several_batches(spark, tmp_path):
     recs, cands, decs = make(5, 60)
     r, c, d = frames(spark, recs, cands, decs)
