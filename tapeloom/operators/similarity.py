@@ -7,7 +7,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -20,6 +19,7 @@ from tapeloom.operators.quantiles import exact_quantiles
 from tapeloom.session import cut_lineage
 
 TIE_DECIMALS = 9
+AXIS_ROUNDS = 5000  # at most; axes that do not move any more end earlier
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int, skip_self: bool = False, pivots: int = PIVOTS, block_rows: int | None = None) -> DataFrame:
@@ -177,20 +177,63 @@ def ssm_tiles(segments: DataFrame, max_size: int = 200, width: float = 10.0 * 40
     return map_groups(means, ["recording_id"], ["tile"], picture, "recording_id bigint, tile bigint, pixels array<int>")
 
 
-def project(rows: DataFrame, id_col: str, vector: str, dims: int) -> DataFrame:
-    """Deterministic ``dims``-dimensional coordinates, rounded to 5 decimals.
-
-    Linear projection on the main axes of the unit vectors. Each axis points so that its loading of
-    largest size is positive. The covariance is one aggregate of fixed size.
+def covariance(rows: DataFrame, column: str) -> np.ndarray:
+    """Sample covariance of an array column. A task hands on one matrix, the driver gets one: its size is that of a vector, squared."""
+    columns = "i int, j int, v double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                m = matrix(pa.Table.from_batches([batch]), column)
+                m = np.hstack([m, np.ones((len(m), 1))])  # products with the ones are the sums and the count
+                total = m.T @ m if total is None else total + m.T @ m
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], names=["i", "j", "v"])
+
+    cells = rows.select(column).mapInArrow(run, columns).groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
+    size = max((r["i"] for r in cells), default=-1) + 1
+    total = np.zeros((size, size))
+    for r in cells:
+        total[r["i"], r["j"]] = r["v"]
+    n = total[-1, -1] if size else 0
+    if n < 2:
+        raise ValueError("a covariance needs two rows")
+    return (total[:-1, :-1] - np.outer(total[-1, :-1], total[-1, :-1]) / n) / (n - 1)
+
+
+def main_axes(cov: np.ndarray, dims: int, rounds: int = AXIS_ROUNDS) -> np.ndarray:
+    """Main axes, a row each, by rounds of multiplying and orthogonalising fixed starts.
+
+    Each points so that its loading of largest size is positive.
     """
-    unit = rows.select(id_col, array_to_vector(l2_normalize(F.col(vector))).alias("_v"))
-    axes = np.array(PCA(k=dims, inputCol="_v", outputCol="_p").fit(unit).pc.toArray())
-    signs = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(dims)])
-    axes = axes * np.where(signs == 0, 1.0, signs)
-    coords = [
-        F.round(dot(F.col("_a"), F.lit([float(x) for x in axes[:, i]])), 5) for i in range(dims)
-    ]
-    return unit.withColumn("_a", vector_to_array("_v")).select(id_col, F.array(*coords).alias("coords"))
+    size = len(cov)
+    if dims > size:
+        raise ValueError(f"{size} numbers have at most {size} axes")
+    axes = [np.cos(np.arange(1, size + 1) * (j + 1)) for j in range(dims)]
+    for _ in range(rounds):
+        done: list[np.ndarray] = []
+        for v in axes:
+            v = cov @ v
+            for b in done:
+                v = v - (b @ v) * b
+            length = np.sqrt(v @ v)
+            done.append(v / length if length > 0 else v)
+        still = np.abs(np.array(done) - np.array(axes)).max() < 1e-14
+        axes = done
+        if still:
+            break
+    return np.array([v if v[np.abs(v).argmax()] >= 0 else -v for v in axes])
+
+
+def project(rows: DataFrame, id_col: str, vector: str, dims: int, rounds: int = AXIS_ROUNDS) -> DataFrame:
+    """Deterministic ``dims``-dimensional coordinates, rounded to 5 decimals: unit vectors on their main axes."""
+    unit = rows.select(id_col, l2_normalize(F.col(vector)).alias("_a"))
+    axes = main_axes(covariance(unit, "_a"), dims, rounds)
+    coords = [F.round(dot(F.col("_a"), F.lit([float(x) for x in axis])), 5) + 0.0 for axis in axes]
+    return unit.select(id_col, F.array(*coords).alias("coords"))
 
 
 def apply_model(

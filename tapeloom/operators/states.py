@@ -2,22 +2,65 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.functions.vectors import cosine_distance, l2_normalize
-from tapeloom.operators.ordered import CHUNK_ROWS, adjacent, running_total, with_halo
+from tapeloom.operators.ordered import CHUNK_ROWS, adjacent, matrix, running_total, with_halo
+from tapeloom.session import store
 
 INTERSTITIAL_SECONDS = 120.0
+CLUSTER_ROUNDS = 6
+
+
+def _nearest(unit: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Nearest centre of each row by squared distance to nine decimals, the first of equals."""
+    return np.round((centres * centres).sum(axis=1) - 2 * unit @ centres.T, 9).argmin(axis=1)
 
 
-def cluster_segments(segments: DataFrame, k: int, seed: int = 42) -> DataFrame:
-    """Cluster of each segment by k-means on unit vectors."""
-    rows = segments.select("segment_id", array_to_vector(l2_normalize(F.col("embedding"))).alias("features"))
-    model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(rows)
-    return model.transform(rows).select("segment_id", F.col("cluster_id").cast("long").alias("cluster_id"))
+def cluster_segments(segments: DataFrame, k: int, rounds: int = CLUSTER_ROUNDS) -> DataFrame:
+    """Cluster of each segment by a fixed number of k-means rounds on unit vectors.
+
+    The first centres are the ``k`` different vectors whose segments' ids have the smallest md5; a centre without segments stays where it is. A round
+    is one pass in which each task hands on one sum per centre.
+    """
+    rows = segments.filter("embedding is not null").select(F.col("segment_id").cast("long"), l2_normalize(F.col("embedding")).alias("u"))
+    rows = store(rows, "unit-vectors")
+    starts = rows.groupBy("u").agg(F.min(F.md5(F.col("segment_id").cast("string"))).alias("h")).orderBy("h").limit(k).collect()
+    columns = "c int, n bigint, sums array<double>"
+    if not starts:
+        return rows.select("segment_id", F.lit(0).cast("long").alias("cluster_id"))
+    centres = np.array([r["u"] for r in starts])
+    for _ in range(rounds):
+        def sums(batches: Iterator[pa.RecordBatch], centres=centres) -> Iterator[pa.RecordBatch]:
+            total, count = np.zeros_like(centres), np.zeros(len(centres), np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    unit = matrix(pa.Table.from_batches([batch]), "u")
+                    own = _nearest(unit, centres)
+                    np.add.at(total, own, unit)
+                    count += np.bincount(own, minlength=len(centres))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(centres)), pa.int32()), pa.array(count), pa.array(total.tolist(), pa.list_(pa.float64()))], names=["c", "n", "sums"])
+
+        at = F.posexplode("sums").alias("i", "x")
+        summed = rows.select("u").mapInArrow(sums, columns).filter("n > 0").select("c", "n", at).groupBy("c", "i").agg(
+            F.sum("x").alias("x"), F.sum("n").alias("n")).collect()  # a number for each centre and dimension
+        centres = centres.copy()
+        for r in summed:
+            centres[r["c"], r["i"]] = np.round(r["x"] / r["n"], 9)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                own = _nearest(matrix(pa.Table.from_batches([batch]), "u"), centres)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own.astype("i8"))], names=["segment_id", "cluster_id"])
+
+    return rows.mapInArrow(assign, "segment_id bigint, cluster_id bigint")
 
 
 def neighbour_novelty(neighbours: DataFrame) -> DataFrame:

@@ -12,7 +12,21 @@ from tapeloom.plans.base import Archive, plan
 from tapeloom.plans.passages import blocks
 
 
-@plan("D12_cluster_segments")
+def _clusters_sql(k: int) -> str:
+    """The rounds of D12 one after another: a centre's segments, then their mean."""
+    unit = "list_transform(embedding, lambda x: x / sqrt(list_sum(list_transform(embedding, lambda y: y * y))))"
+    parts = [f"u AS (SELECT segment_id, {unit} AS u FROM seg_vec WHERE embedding IS NOT NULL)",
+             "h AS (SELECT u AS m, min(md5(CAST(segment_id AS STRING))) AS h FROM u GROUP BY 1)",
+             f"m0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, m FROM h QUALIFY c < {k})"]
+    for r in range(D.CLUSTER_ROUNDS + 1):
+        parts.append(f"a{r} AS (SELECT segment_id, any_value(u) AS u, arg_min(c, {{'d': round(list_dot_product(m, m) - 2 * list_dot_product(u, m), 9), 'c': c}}) AS c "
+                     f"FROM u, m{r} GROUP BY segment_id)")
+        parts.append(f"m{r + 1} AS (SELECT c, list(v ORDER BY d) AS m FROM (SELECT c, d, round(avg(u[d]), 9) AS v FROM a{r}, range(1, 65) t(d) GROUP BY c, d) x GROUP BY c "
+                     f"UNION ALL SELECT c, m FROM m{r} WHERE c NOT IN (SELECT c FROM a{r}))")
+    return f"WITH {', '.join(parts)} SELECT segment_id, c AS cluster_id FROM a{D.CLUSTER_ROUNDS}"
+
+
+@plan("D12_cluster_segments", _clusters_sql(8))
 def d12(a: Archive):
     return D.cluster_segments(a.wide, 8)
 

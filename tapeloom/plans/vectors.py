@@ -147,11 +147,35 @@ def v12(a: Archive):
         "label", F.round(F.get("v", 0), 6).alias("first"), F.round(F.get("v", 63), 6).alias("last"))
 
 
-@plan("V11_project_2d")
+ROUNDS = 120  # as many as SQL does in a few seconds
+LENGTH = "sqrt(list_sum(list_transform({v}, lambda z: z * z)))"
+# The same rounds in SQL: C times each axis, less its parts along the axes before it, scaled to length one.
+AXES_SQL = f"""unit AS (SELECT vec_id, list_transform(e, lambda x: x / {LENGTH.format(v='e')}) AS u FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) t),
+ cov AS (SELECT list(line ORDER BY i) AS c FROM (SELECT i, list(v ORDER BY j) AS line FROM (SELECT i, j, covar_samp(u[i], u[j]) AS v FROM unit, range(1, 65) a(i), range(1, 65) b(j)
+  GROUP BY i, j) x GROUP BY i) y),
+ walk AS (SELECT 0 AS k, list_transform(range(1, @DIMS + 1), lambda j: list_transform(range(1, 65), lambda i: cos(CAST(i * j AS DOUBLE)))) AS q
+  UNION ALL SELECT k + 1, list_reduce(list_transform(q, lambda v: [list_transform(c, lambda line: list_dot_product(line, v))]),
+   lambda done, y: list_concat(done, list_transform([list_reduce(list_concat(y, done), lambda v, b: list_transform(range(1, 65), lambda i: v[i] - list_dot_product(b, v) * b[i]))],
+    lambda w: list_transform(w, lambda x: x / {LENGTH.format(v='w')}))), CAST([] AS DOUBLE[][]))
+  FROM walk, cov WHERE k < {ROUNDS}),
+ axes AS (SELECT list_transform(q, lambda v: list_transform(v, lambda x: x * sign(v[list_position(list_transform(v, lambda z: abs(z)), list_max(list_transform(v, lambda z: abs(z))))]))) AS q
+  FROM walk WHERE k = {ROUNDS})"""
+
+
+def _axes_sql(dims: int) -> str:
+    coords = ", ".join(f"round(list_dot_product(u, q[{i}]), 5) + 0.0 AS c{i}" for i in range(1, dims + 1))
+    return f"WITH RECURSIVE {AXES_SQL.replace('@DIMS', str(dims))} SELECT vec_id AS id, {coords} FROM unit, axes"
+
+
+def _projected(a: Archive, dims: int):
+    return V.project(_vectors(a), "id", "vector", dims, ROUNDS).select("id", *[F.get("coords", i).alias(f"c{i + 1}") for i in range(dims)])
+
+
+@plan("V11_project_2d", _axes_sql(2))
 def v11(a: Archive):
-    return V.project(_vectors(a), "id", "vector", 2)
+    return _projected(a, 2)
 
 
-@plan("V11_reduce_20d")
+@plan("V11_reduce_20d", _axes_sql(20))
 def v11b(a: Archive):
-    return V.project(_vectors(a), "id", "vector", 20)
+    return _projected(a, 20)

@@ -158,6 +158,16 @@ def test_projection_matches_the_covariance_axes(vectors):
     assert np.allclose(got, u @ axes, atol=2e-5)
 
 
+def test_axes_of_repeated_and_constant_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 0.0, 0.0] if i % 2 else [0.0, 1.0, 0.0]) for i in range(10)], "id long, vector array<double>")
+    got = np.array([r.coords for r in V.project(df, "id", "vector", 2).orderBy("id").collect()])
+    assert np.allclose(np.abs(got[:, 0]), np.sqrt(0.5), atol=1e-5) and got[0, 0] == -got[1, 0]
+    with pytest.raises(ValueError):
+        V.project(df, "id", "vector", 4)
+    with pytest.raises(ValueError):
+        V.project(df.limit(0), "id", "vector", 2)
+
+
 def test_model_failures_stay_with_their_row(spark):
     def load():
         def model(xs):
