@@ -213,12 +213,18 @@ def title_contains(title: Column, query: str) -> Column:
     return F.contains(F.lower(title), F.lit(query.lower()))
 
 
-def path_matches(source_path: Column, prefixes: list[str]) -> Column:
-    """Some path equals a prefix or lies below it."""
-    def below(p: Column) -> Column:
-        test = F.lit(False)
-        for prefix in prefixes:
-            test = test | (p == prefix) | p.startswith(prefix.rstrip("/") + "/")
-        return test
-
-    return F.exists(source_path, below)
+def path_keys(source_path: Column) -> Column:
+    """What a list of prefixes may name of some paths: each path itself (kind 0) and every folder above it (kind 1)."""
+    def keys(p: Column) -> Column:
+        parts = F.split(p, "/")
+        depths = F.filter(F.sequence(F.lit(0), F.size(parts)), lambda n: (n >= 1) & (n < F.size(parts)))
+        above = F.transform(depths, lambda n: F.struct(F.lit(1).alias("kind"), F.array_join(F.slice(parts, F.lit(1), n), "/").alias("key")))
+        return F.array_append(above, F.struct(F.lit(0).alias("kind"), p.alias("key")))
+
+    return F.array_distinct(F.flatten(F.transform(F.filter(source_path, lambda p: p.isNotNull()), keys)))
+
+
+def prefix_keys(prefix: Column) -> Column:
+    """A prefix names the path equal to it and the folder of its name, with or without slashes at the end."""
+    return F.array(F.struct(F.lit(0).alias("kind"), prefix.alias("key")),
+                   F.struct(F.lit(1).alias("kind"), F.regexp_replace(prefix, "/+$", "").alias("key")))

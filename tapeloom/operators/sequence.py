@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.ordered import (
@@ -243,6 +243,21 @@ def boundary_lists(boundaries: DataFrame, page: int = LIST_PAGE) -> DataFrame:
     )
 
 
+def stats_with_boundaries(stats: DataFrame, boundaries: DataFrame, page: int = LIST_PAGE) -> DataFrame:
+    """Q6: ``recording_stats`` with the boundary positions of each recording, a row per page of them; most have page 0 only."""
+    lists = boundary_lists(boundaries.filter("idx > 0"), page)
+    return stats.join(lists, "recording_id", "left").withColumn("page", F.coalesce("page", F.lit(0).cast("long"))).withColumn(
+        "boundaries", F.coalesce("boundaries", F.array().cast("array<bigint>")))
+
+
+def run_config(run: str, passages: DataFrame, kernel_size: int, threshold: float, min_segments: int, min_passage: float, at: Column) -> DataFrame:
+    """The one row that says how a run was made."""
+    return passages.agg(F.count_distinct("recording_id").alias("n_recordings"), F.count(F.lit(1)).alias("n_passages")).select(
+        F.lit("ssm").alias("method"), F.lit(run).alias("run_name"), F.lit(kernel_size).alias("kernel_size"), F.lit(threshold).alias("peak_threshold"),
+        F.lit(min_segments).alias("min_segments"), F.lit(min_passage).alias("min_passage_duration_seconds"), "n_recordings", "n_passages",
+        F.lit(None).cast("long").alias("n_clusters"), at.alias("timestamp"))
+
+
 def step_distances(indexed: DataFrame, chunk: int = CHUNK_ROWS) -> DataFrame:
     """Q7: cosine distance of each segment to the one before it, null for the first; vectors dropped."""
     keep = ["recording_id", "segment_id", "idx", "n"]
@@ -434,15 +449,16 @@ def passage_points(
     return points.filter("x is not null"), points.filter("x is null")
 
 
-def number_points(points: DataFrame) -> DataFrame:
-    """Q8: consecutive ids over the passages that were kept."""
-    points = store(points, "points")
-    kept = running_total(
-        points, ["recording_id"], "grp", "grp", F.lit(1), float(CHUNK_ROWS), "_at"
-    ).withColumn("_at", (F.col("_at") - 1).cast("long"))
-    counts = points.groupBy("recording_id").agg(F.count(F.lit(1)).alias("_count"))
-    firsts = consecutive_ids(counts, "recording_id", "_count", "_first").select("recording_id", "_first")
-    return kept.join(firsts, "recording_id").withColumn("passage_id", F.col("_first") + F.col("_at")).drop("_first", "_at")
+def number_points(points: DataFrame, map_col: str | None = None) -> DataFrame:
+    """Q8/Q9: consecutive ids over the passages that were kept, of each map from 0."""
+    points, keys = store(points, "points"), ([map_col] if map_col else []) + ["recording_id"]
+    kept = running_total(points, keys, "grp", "grp", F.lit(1), float(CHUNK_ROWS), "_at").withColumn("_at", (F.col("_at") - 1).cast("long"))
+    counts = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_count")).withColumn("_key", F.struct(*keys))
+    firsts = consecutive_ids(counts, "_key", "_count", "_first").select(*keys, "_first")
+    if map_col:
+        starts = firsts.groupBy(map_col).agg(F.min("_first").alias("_start"))
+        firsts = firsts.join(starts, map_col).select(*keys, (F.col("_first") - F.col("_start")).alias("_first"))
+    return kept.join(firsts, keys).withColumn("passage_id", F.col("_first") + F.col("_at")).drop("_first", "_at")
 
 
 def polylines(points: DataFrame, hidden: list[str], page: int = LIST_PAGE) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.functions.labels import ineligible, invalid_classification
-from tapeloom.functions.text import path_matches, renamed_file, slugify, slugify_folded
+from tapeloom.functions.text import path_keys, prefix_keys, renamed_file, slugify, slugify_folded
 from tapeloom.operators.lookups import needs_processing, nearest_start
 from tapeloom.operators.ordered import carry_forward, running_total
 from tapeloom.operators.series import series_cut
@@ -505,20 +505,36 @@ def log_entries(results: DataFrame, step: str, version: str, at: Column) -> Data
     )
 
 
+def tier_paths(tiers: DataFrame, wanted: list[int]) -> DataFrame:
+    """The prefixes of some tiers, from a table of tier and prefix."""
+    return tiers.filter(F.col("tier").isin(wanted)).select("prefix").distinct()
+
+
+def under_paths(recordings: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Recordings one of whose source paths equals a prefix or lies below it.
+
+    Every path gives its own name and the folders above it, so that the test is an equi-join and the plan is the
+    same for ten prefixes or ten thousand.
+    """
+    wanted = prefixes.select(F.inline(prefix_keys(F.col("prefix")))).distinct()
+    keys = recordings.select("id", F.inline(path_keys(F.col("source_path"))))
+    return recordings.join(keys.join(wanted, ["kind", "key"], "left_semi").select("id").distinct(), "id", "left_semi")
+
+
 def step_scope(
-    recordings: DataFrame, log: DataFrame, step: str, version: str, prefixes: list[str] | None = None
+    recordings: DataFrame, log: DataFrame, step: str, version: str, prefixes: DataFrame | None = None
 ) -> DataFrame:
     """What a run of a step would do: recordings not done yet, in the wanted folders, with the
     reason where one cannot be processed."""
     todo = needs_processing(recordings, log, step, version)
-    if prefixes:
-        todo = todo.filter(path_matches(F.col("source_path"), prefixes))
+    if prefixes is not None:
+        todo = under_paths(todo, prefixes)
     return todo.withColumn("error", ineligible(F.col("audio_path"), F.col("duration_seconds")))
 
 
 def run_step(
     recordings: DataFrame, log: DataFrame, step: str, version: str, at: Column,
-    work: Callable[[DataFrame], DataFrame], prefixes: list[str] | None = None, dry_run: bool = False,
+    work: Callable[[DataFrame], DataFrame], prefixes: DataFrame | None = None, dry_run: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Results of a step and the log rows to append.
 

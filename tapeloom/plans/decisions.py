@@ -335,9 +335,14 @@ SCOPE_SQL = """(SELECT id, CASE WHEN audio_path IS NULL THEN 'no audio_path' WHE
  WHERE (starts_with(source, 'Temas/') OR starts_with(source, 'Jams/')) AND id NOT IN (SELECT recording_id FROM processing_log WHERE step = 'ingest' AND version = '1' AND status = 'success'))"""
 
 
+def _tiers(a: Archive):
+    tiers = a.spark.createDataFrame([(1, "Temas"), (2, "Jams/"), (3, "Old")], "tier int, prefix string")
+    return W.tier_paths(tiers, [1, 2])
+
+
 @plan("W19_dry_run", f"SELECT id, error FROM {SCOPE_SQL} s")
 def w19(a: Archive):
-    return W.step_scope(a.recordings, a.processing_log, "ingest", "1", ["Temas", "Jams"]).select("id", "error")
+    return W.step_scope(a.recordings, a.processing_log, "ingest", "1", _tiers(a)).select("id", "error")
 
 
 @plan("W18_run_step", f"""SELECT id AS recording_id, 'ingest' AS step, '1' AS version, CASE WHEN error IS NOT NULL OR id % 10 = 3 THEN 'failed' ELSE 'success' END AS status,
@@ -346,7 +351,7 @@ def w18(a: Archive):
     def work(recs):
         return recs.select(F.col("id").alias("recording_id"), F.when(F.col("id") % 10 == 3, "cannot read").alias("error"))
 
-    _, log = W.run_step(a.recordings, a.processing_log, "ingest", "1", F.lit("2024-01-01").cast("timestamp_ntz"), work, ["Temas", "Jams"])
+    _, log = W.run_step(a.recordings, a.processing_log, "ingest", "1", F.lit("2024-01-01").cast("timestamp_ntz"), work, _tiers(a))
     return log.drop("completed_at")
 
 

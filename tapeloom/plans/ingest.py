@@ -9,6 +9,7 @@ from tapeloom.functions import text as T
 from tapeloom.operators import lookups as J
 from tapeloom.operators import series as A
 from tapeloom.operators import summaries as S
+from tapeloom.operators import workflow as W
 from tapeloom.plans.base import Archive, plan
 from tapeloom.sources import inventory as I
 from tapeloom.sources import store
@@ -207,13 +208,13 @@ def p13(a: Archive):
 
 
 @plan("P14_audio_urls", """SELECT s.id, concat('file:///audio/', r.audio_path, printf('#t=%.1f,%.1f', s.start_seconds, s.end_seconds)) AS url,
- concat('https://music.s3.amazonaws.com/raw/', r.source) AS stored FROM segments s JOIN recordings r ON r.id = s.recording_id WHERE r.audio_path IS NOT NULL
- UNION ALL SELECT s.id, NULL, concat('https://music.s3.amazonaws.com/raw/', r.source) FROM segments s JOIN recordings r ON r.id = s.recording_id WHERE r.audio_path IS NULL""")
+ concat('https://example-bucket.s3.amazonaws.com/raw/', r.source) AS stored FROM segments s JOIN recordings r ON r.id = s.recording_id WHERE r.audio_path IS NOT NULL
+ UNION ALL SELECT s.id, NULL, concat('https://example-bucket.s3.amazonaws.com/raw/', r.source) FROM segments s JOIN recordings r ON r.id = s.recording_id WHERE r.audio_path IS NULL""")
 def p14(a: Archive):
     rec = a.recordings.select(F.col("id").alias("recording_id"), "audio_path", "source")
     return a.segments.join(rec, "recording_id").select(
         "id", T.audio_url(F.col("audio_path"), F.col("start_seconds"), F.col("end_seconds"), "file:///audio").alias("url"),
-        T.storage_url(F.col("source"), "s3", "music", "raw").alias("stored"))
+        T.storage_url(F.col("source"), "s3", "example-bucket", "raw").alias("stored"))
 
 
 @plan("P15_level_words", """SELECT id, CASE WHEN p >= 67 THEN 'loud' WHEN p <= 33 THEN 'quiet' WHEN p IS NULL THEN '' ELSE 'mid-level' END AS word,
@@ -243,7 +244,8 @@ def p19(a: Archive):
  AND starts_with(source, 'Jams/1996-01-02/') OR starts_with(source, 'Temas/Song-12/')""")
 def p21(a: Archive):
     prefixes = ["Temas/Song-7/Song-7_Demo.mp3", "Jams/1996-01-02", "Temas/Song-12/"]
-    return a.recordings.filter(T.path_matches(F.col("source_path"), prefixes)).select("id", "source")
+    tiers = a.spark.createDataFrame([(1 + i % 2, p) for i, p in enumerate(prefixes)] + [(3, "Assajos")], "tier int, prefix string")
+    return W.under_paths(a.recordings, W.tier_paths(tiers, [1, 2])).select("id", "source")
 
 
 # --- ingest ----------------------------------------------------------------------------------------

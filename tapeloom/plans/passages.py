@@ -95,13 +95,27 @@ def q5(a: Archive):
     return blocks(a).select("recording_id", "grp", "passage_id")
 
 
-@plan("Q6_recording_stats", f"""WITH {CHAIN_SQL} SELECT c.recording_id, t.recording_title, max(c.n) AS n_segments, round(avg(novelty), 4) AS novelty_mean, round(stddev_pop(novelty), 4) AS novelty_std,
+STATS_SQL = f"""WITH {CHAIN_SQL}, lists AS (SELECT recording_id, idx // 4096 AS page, string_agg(idx, ',' ORDER BY idx) AS boundaries FROM bounds WHERE idx > 0 GROUP BY 1, 2),
+ stats AS (SELECT c.recording_id, t.recording_title, max(c.n) AS n_segments, round(avg(novelty), 4) AS novelty_mean, round(stddev_pop(novelty), 4) AS novelty_std,
  round(max(novelty), 4) AS novelty_max, max(c.n) < 6 AS single_passage, 1 + (SELECT count(*) FROM bounds b WHERE b.recording_id = c.recording_id AND b.idx > 0) AS n_passages
- FROM curve c JOIN rec_types t USING (recording_id) GROUP BY 1, 2""")
-def q6(a: Archive):
+ FROM curve c JOIN rec_types t USING (recording_id) GROUP BY 1, 2)
+ SELECT s.*, coalesce(l.page, 0) AS page, coalesce(l.boundaries, '') AS boundaries FROM stats s LEFT JOIN lists l USING (recording_id)"""
+
+
+def _stats(a: Archive):
     c = curve(a)
+    cuts = bounds(a, c)
     titles = a.recordings.select(F.col("id").alias("recording_id"), F.col("title").alias("recording_title"))
-    return Q.recording_stats(c, bounds(a, c), titles)
+    return Q.stats_with_boundaries(Q.recording_stats(c, cuts, titles), cuts)
+
+
+def _shown_stats(df):
+    return df.withColumn("boundaries", F.array_join(F.col("boundaries").cast("array<string>"), ","))
+
+
+@plan("Q6_recording_stats", STATS_SQL)
+def q6(a: Archive):
+    return _shown_stats(_stats(a))
 
 
 # Change points: the open group's start is carried along the ordered list.
@@ -151,15 +165,37 @@ def j16(a: Archive):
     return lost.agg(F.count(F.lit(1)).alias("dropped"))
 
 
+MAPS = {"all": ("All segments", None), "left": ("Left half", "x < 5"), "right": ("Right half", "x >= 5")}
+
+
+def _stored_maps(a: Archive) -> str:
+    """Three maps of the points and their catalog, written once for a session and folder."""
+    def write(root: str) -> None:
+        for name, (label, rule) in MAPS.items():
+            coords = (a.points.filter(rule) if rule else a.points).select("segment_id", "x", "y")
+            store.write_map(a.spark, root, name, coords, label, {"where": rule, "least": 0.5})
+    return _written(a, "maps", write)
+
+
 @plan("Q9_points_of_all_maps", f"""WITH {CHANGE_SQL}, maps AS (SELECT unnest(['all', 'left', 'right']) AS map_name),
  pts AS ({POINTS_SQL.format(m='m.map_name, ')} CROSS JOIN maps m LEFT JOIN points p ON p.segment_id = g.segment_id AND (m.map_name = 'all' OR (p.x < 5) = (m.map_name = 'left')) GROUP BY 1, 2, 3)
- SELECT map_name, recording_id, grp, x, y, segment_count FROM pts WHERE x IS NOT NULL""")
+ SELECT map_name, CASE map_name WHEN 'all' THEN 'All segments' WHEN 'left' THEN 'Left half' ELSE 'Right half' END || ' (passages)' AS label,
+ row_number() OVER (PARTITION BY map_name ORDER BY recording_id, grp) - 1 AS passage_id, recording_id, grp, x, y, segment_count FROM pts WHERE x IS NOT NULL""")
 def q9(a: Archive):
-    names = F.array(F.lit("all"), F.when(F.col("x") < 5, "left").otherwise("right"))
-    coords = a.points.withColumn("map_name", F.explode(names))
-    maps = _point_members(a).withColumn("map_name", F.explode(F.array(F.lit("all"), F.lit("left"), F.lit("right"))))
-    placed, _ = Q.passage_points(maps, coords, META, "map_name")
-    return placed.select("map_name", "recording_id", "grp", "x", "y", "segment_count")
+    root = _stored_maps(a)
+    coords, catalog = store.read_maps(a.spark, root), store.read_catalog(a.spark, root)
+    names = catalog.select(F.col("name").alias("map_name"), F.concat("label", F.lit(" (passages)")).alias("label"))
+    every = names.agg(F.sort_array(F.collect_list("map_name"))).scalar()  # the catalog has a row per map
+    members = _point_members(a).withColumn("map_name", F.explode(every))
+    placed, _ = Q.passage_points(members, coords, META, "map_name")
+    return Q.number_points(placed, "map_name").join(names, "map_name").select(
+        "map_name", "label", "passage_id", "recording_id", "grp", "x", "y", "segment_count")
+
+
+@plan("S12_map_catalog", """SELECT name, label, count, filters_where FROM (SELECT 'all' AS name, 'All segments' AS label, count(*) AS count, CAST(NULL AS STRING) AS filters_where FROM points
+ UNION ALL SELECT 'left', 'Left half', count(*), 'x < 5' FROM points WHERE x < 5 UNION ALL SELECT 'right', 'Right half', count(*), 'x >= 5' FROM points WHERE x >= 5) t ORDER BY name""")
+def s12_maps(a: Archive):
+    return store.read_catalog(a.spark, _stored_maps(a)).select("name", "label", "count", F.col("filters.where").alias("filters_where")).orderBy("name")
 
 
 @plan("Q10_polylines", """SELECT recording_id, CAST(0 AS BIGINT) AS page, string_agg(printf('%.1f:%.3f:%.3f', start_seconds, x, y), ' ' ORDER BY start_seconds, segment_id) AS points
@@ -201,18 +237,48 @@ def g11(a: Archive):
     return S.scale_domains(blocks(a))
 
 
-def _as_run(df, run: str = "ssm-k8-t0p5"):
-    return df.withColumn("run", F.lit(run))
+RUN = store.run_name(8, 0.5)
+WRITTEN: dict[tuple[str, str, str], str] = {}  # what a session has written of a folder
+
+
+def _written(a: Archive, kind: str, write) -> str:
+    key = (a.spark.sparkContext.applicationId, a.folder, kind)
+    if key not in WRITTEN:
+        root = f"{work_dir(a.spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+        write(root)
+        WRITTEN[key] = root
+    return WRITTEN[key]
+
+
+def _stored_run(a: Archive) -> str:
+    """The five tables of a run, and the types of a second run that has no configuration."""
+    def write(root: str) -> None:
+        indexed = Q.index_segments(a.wide).withColumn("grp", F.floor(F.col("idx") / 4))
+        found = Q.extract_passages(indexed)
+        store.write_run(root, RUN, {"passages": found})
+        found = store.read_run(a.spark, root, "passages", RUN).drop("run")
+        vectors = mean_vectors(indexed, ["recording_id", "grp"], "embedding", "vector", normalize=False)
+        vectors = vectors.join(found.select("recording_id", "grp", "passage_id"), ["recording_id", "grp"])
+        store.write_run(root, RUN, {
+            "passage_types": S.passage_types(found), "recording_stats": _stats(a),
+            "config": Q.run_config(RUN, found, 8, 0.5, Q.MIN_SEGMENTS, Q.MIN_PASSAGE_SECONDS, F.lit("2024-01-01").cast("timestamp_ntz"))})
+        store.export_vectors(vectors, "passage_id", "vector", f"{root}/passage_embeddings/run={RUN}")
+        store.write_run(root, "odd", {"passage_types": S.passage_types(found.filter("passage_id % 2 = 1"))})
+    return _written(a, "runs", write)
+
+
+def _run_table(a: Archive, name: str):
+    return store.read_run(a.spark, _stored_run(a), name, RUN)
 
 
 @plan("J21_by_type", "SELECT passage_id, recording_id, start_seconds FROM passages WHERE passage_type = 3")
 def j21(a: Archive):
-    return J.passages_by_type(_as_run(blocks(a)), "ssm-k8-t0p5", 3).select("passage_id", "recording_id", "start_seconds")
+    return J.passages_by_type(store.read_runs(a.spark, _stored_run(a), "passages"), RUN, 3).select("passage_id", "recording_id", "start_seconds")
 
 
 @plan("J21_by_recording", "SELECT passage_id, recording_id, start_seconds FROM passages WHERE recording_id = 5 ORDER BY start_seconds")
 def j21b(a: Archive):
-    return J.passages_by_recording(_as_run(blocks(a)), "ssm-k8-t0p5", 5).select("passage_id", "recording_id", "start_seconds")
+    return J.passages_by_recording(store.read_runs(a.spark, _stored_run(a), "passages"), RUN, 5).select("passage_id", "recording_id", "start_seconds")
 
 
 SAMPLED = ["passage_id", "recording_id", "passage_type", "start_seconds", "end_seconds", "segment_count"]
@@ -221,43 +287,51 @@ SAMPLED = ["passage_id", "recording_id", "passage_type", "start_seconds", "end_s
 @plan("T4_one_per_recording", f"""SELECT {', '.join(SAMPLED)} FROM (SELECT * FROM passages QUALIFY row_number() OVER (PARTITION BY recording_id
  ORDER BY md5(concat(passage_id, ':42')), passage_id) = 1) p ORDER BY md5(concat(recording_id, ':42')), recording_id LIMIT 15""")
 def t4(a: Archive):
-    return S.one_per_recording(blocks(a)).select(*SAMPLED)
+    return S.one_per_recording(_run_table(a, "passages")).select(*SAMPLED)
 
 
 @plan("T5_similar_passages", f"""SELECT {', '.join(SAMPLED)} FROM passages WHERE passage_type = 2 AND recording_id <> 5
  ORDER BY md5(concat(passage_id, ':42')), passage_id LIMIT 10""")
 def t5(a: Archive):
-    return S.similar_passages(blocks(a), 2, 5).select(*SAMPLED)
+    return S.similar_passages(_run_table(a, "passages"), 2, 5).select(*SAMPLED)
 
 
 @plan("T6_most_segmented", "SELECT recording_id, count(*) AS n_passages FROM passages GROUP BY 1 ORDER BY n_passages DESC, recording_id LIMIT 20")
 def t6(a: Archive):
-    return S.most_segmented(blocks(a).groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_passages")))
+    return S.most_segmented(_run_table(a, "passages").groupBy("recording_id").agg(F.count(F.lit(1)).alias("n_passages")))
 
 
 @plan("T7_types_by_size", "SELECT passage_type, count(*) AS count FROM passages GROUP BY 1 ORDER BY count DESC, passage_type")
 def t7(a: Archive):
-    return S.types_by_size(blocks(a).groupBy("passage_type").agg(F.count(F.lit(1)).alias("count")))
-
-
-RUNS_SQL = "SELECT passage_type, count(*) AS count, 'even' AS run FROM passages WHERE passage_id % 2 = 0 GROUP BY 1 UNION ALL SELECT passage_type, count(*), 'odd' FROM passages WHERE passage_id % 2 = 1 GROUP BY 1"
+    return S.types_by_size(_run_table(a, "passage_types").select("passage_type", "count"))
 
 
-@plan("S13_list_runs", f"""SELECT run AS name, CASE WHEN run = 'even' THEN 8 ELSE 0 END AS n_clusters, CASE WHEN run = 'even' THEN 'kmeans' ELSE 'unknown' END AS method,
- CAST(sum(count) AS BIGINT) AS passage_count, count(*) AS type_count FROM ({RUNS_SQL}) r GROUP BY 1""")
+@plan("S13_list_runs", """SELECT 'ssm-k8-t0p5' AS name, 0 AS n_clusters, 'ssm' AS method, count(*) AS passage_count, count(DISTINCT passage_type) AS type_count FROM passages
+ UNION ALL SELECT 'odd', 0, 'unknown', count(*), count(DISTINCT passage_type) FROM passages WHERE passage_id % 2 = 1""")
 def s13(a: Archive):
-    run = F.when(F.col("passage_id") % 2 == 0, "even").otherwise("odd").alias("run")
-    types = blocks(a).groupBy(run, "passage_type").agg(F.count(F.lit(1)).alias("count"))
-    config = types.filter("run = 'even'").select("run", F.lit(8).alias("n_clusters"), F.lit("kmeans").alias("method")).distinct()
-    return store.list_runs(types, config)
+    root = _stored_run(a)
+    return store.list_runs(store.read_runs(a.spark, root, "passage_types"), store.read_runs(a.spark, root, "config")).withColumn(
+        "n_clusters", F.col("n_clusters").cast("int"))
 
 
 @plan("S11_written_run", "SELECT 'ssm-k8-t0p5' AS run, passage_id, recording_id, duration FROM passages")
 def s11(a: Archive):
-    root = f"{work_dir(a.spark).rstrip('/')}/runs-{uuid.uuid4().hex}"
-    name = store.run_name(8, 0.5)
-    store.write_run(root, name, {"passages": blocks(a)})
-    return store.read_runs(a.spark, root, "passages").filter(F.col("run") == name).select("run", "passage_id", "recording_id", "duration")
+    return _run_table(a, "passages").select("run", "passage_id", "recording_id", "duration")
+
+
+@plan("S11_run_types", f"SELECT 'ssm-k8-t0p5' AS run, passage_type, count(*) AS count, count(DISTINCT recording_id) AS n_recordings, {half_up('avg(duration)', 1)} AS mean_duration FROM passages GROUP BY 2")
+def s11_types(a: Archive):
+    return _run_table(a, "passage_types").select("run", "passage_type", "count", "n_recordings", "mean_duration")
+
+
+@plan("S11_run_stats", STATS_SQL.replace("SELECT s.*,", "SELECT 'ssm-k8-t0p5' AS run, s.*,"))
+def s11_stats(a: Archive):
+    return _shown_stats(_run_table(a, "recording_stats"))
+
+
+@plan("S11_run_config", """SELECT 'ssm-k8-t0p5' AS run, 'ssm' AS method, 'ssm-k8-t0p5' AS run_name, 8 AS kernel_size, count(DISTINCT recording_id) AS n_recordings, count(*) AS n_passages FROM passages""")
+def s11_config(a: Archive):
+    return _run_table(a, "config").select("run", "method", "run_name", "kernel_size", "n_recordings", "n_passages")
 
 
 @plan("G9_compare_runs", """SELECT 'm' || cluster_id % 2 AS method, CAST(cluster_id + 2 AS BIGINT) AS n_clusters, cluster_id AS run,
@@ -273,8 +347,5 @@ def g9(a: Archive):
 @plan("S14_passage_vectors", """SELECT passage_id, round(s, 6) AS total FROM (SELECT p.passage_id, sum(list_sum(i.embedding)) / max(p.segment_count) AS s FROM passages p JOIN indexed i
  ON i.recording_id = p.recording_id AND i.idx // 4 = p.grp GROUP BY 1) t""")
 def s14(a: Archive):
-    indexed = Q.index_segments(a.wide).withColumn("grp", F.floor(F.col("idx") / 4))
-    means = mean_vectors(indexed, ["recording_id", "grp"], "embedding", "v", normalize=False)
-    ids = Q.number_groups(Q.summarise_groups(indexed)).select("recording_id", "grp", "passage_id")
-    total = F.aggregate("v", F.lit(0.0), lambda x, y: x + y)
-    return means.join(ids, ["recording_id", "grp"]).select("passage_id", F.round(total, 6).alias("total"))
+    total = F.aggregate("vector", F.lit(0.0), lambda x, y: x + y)
+    return _run_table(a, "passage_embeddings").select("passage_id", F.round(total, 6).alias("total"))

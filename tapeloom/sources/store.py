@@ -54,10 +54,53 @@ def write_run(root: str, run: str, tables: dict[str, DataFrame]) -> None:
         df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}/run={run}")
 
 
-def read_runs(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """All runs of a table; ``run`` is a partition column, so a filter on it prunes folders."""
+def read_runs(spark: SparkSession, root: str, table: str, merge: bool = False) -> DataFrame:
+    """All runs of a table; ``run`` is a partition column, so a filter on it prunes folders.
+
+    With ``merge`` columns that only some runs have are kept, which opens every file.
+    """
     base = f"{root.rstrip('/')}/{table}"
-    return spark.read.option("basePath", base).option("mergeSchema", True).parquet(base)
+    return spark.read.option("basePath", base).option("mergeSchema", merge).parquet(base)
+
+
+def read_run(spark: SparkSession, root: str, table: str, run: str) -> DataFrame:
+    """One run of a table; no other folder is listed."""
+    if not valid_name(run):
+        raise ValueError(f"invalid run name {run!r}")
+    base = f"{root.rstrip('/')}/{table}"
+    return spark.read.option("basePath", base).parquet(f"{base}/run={run}")
+
+
+def write_map(spark: SparkSession, root: str, name: str, coords: DataFrame, label: str, filters: dict[str, str | float | None]) -> DataFrame:
+    """The coordinates of one map under ``<root>/maps/map_name=<name>`` and its entry in the catalog, which is returned.
+
+    The catalog is a small table with a row per map: name, label, number of points and the filters the map was made with.
+    """
+    if not valid_name(name):
+        raise ValueError(f"invalid map name {name!r}")
+    folder = f"{root.rstrip('/')}/maps/map_name={name}"
+    coords.write.mode("overwrite").parquet(folder)
+    entry = spark.read.parquet(folder).agg(F.count(F.lit(1)).alias("count")).select(
+        F.lit(name).alias("name"), F.lit(label).alias("label"), "count",
+        F.struct(*[F.lit(v).cast("double" if isinstance(v, float) else "string").alias(k) for k, v in filters.items()]).alias("filters"))
+    old = read_catalog(spark, root)
+    rows = entry if old is None else upsert_catalog(old, entry)
+    kept = spark.createDataFrame(rows.collect(), rows.schema)  # a row per map; the file it was read from is replaced
+    kept.coalesce(1).write.mode("overwrite").parquet(f"{root.rstrip('/')}/catalog")
+    return kept
+
+
+def read_catalog(spark: SparkSession, root: str) -> DataFrame | None:
+    """The catalog of stored maps, None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/catalog")
+    there = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+    return spark.read.parquet(str(path)) if there else None
+
+
+def read_maps(spark: SparkSession, root: str) -> DataFrame:
+    """Points of all stored maps with ``map_name``, a partition column."""
+    base = f"{root.rstrip('/')}/maps"
+    return spark.read.option("basePath", base).parquet(base)
 
 
 def upsert_catalog(catalog: DataFrame, entry: DataFrame) -> DataFrame:

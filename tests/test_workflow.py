@@ -249,10 +249,41 @@ def test_runs_are_written_and_replaced(spark, tmp_path):
     store.write_run(root, "other", {"passages": df.filter("v = 7")})
     got = sorted((r.run, r.v) for r in store.read_runs(spark, root, "passages").collect())
     assert got == [("other", 7), ("ssm-k8-t0p5", 5), ("ssm-k8-t0p5", 7)]
+    assert sorted(r.v for r in store.read_run(spark, root, "passages", "other").collect()) == [7]
+    pruned = store.read_runs(spark, root, "passages").filter("run = 'other'")
+    assert "PartitionFilters: [isnotnull(run" in pruned._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) and len(pruned.inputFiles()) >= 1
     with pytest.raises(ValueError):
         store.write_run(root, "../up", {"passages": df})
 
 
+def test_maps_and_their_catalog(spark, tmp_path):
+    root = str(tmp_path)
+    points = spark.createDataFrame([(i, float(i), 0.0) for i in range(5)], "segment_id long, x double, y double")
+    assert store.read_catalog(spark, root) is None
+    store.write_map(spark, root, "b", points, "Second", {"where": None, "least": 0.5})
+    store.write_map(spark, root, "a", points.filter("x < 3"), "First", {"where": "x < 3", "least": 1.0})
+    store.write_map(spark, root, "b", points.filter("x > 0"), "Again", {"where": "x > 0", "least": 0.0})
+    got = [(r.name, r.label, r["count"], r.filters["where"], r.filters["least"]) for r in store.read_catalog(spark, root).orderBy("name").collect()]
+    assert got == [("a", "First", 3, "x < 3", 1.0), ("b", "Again", 4, "x > 0", 0.0)]
+    assert {(r.map_name, r["count"]) for r in store.read_maps(spark, root).groupBy("map_name").count().collect()} == {("a", 3), ("b", 4)}
+    with pytest.raises(ValueError):
+        store.write_map(spark, root, "x/y", points, "l", {})
+
+
+def test_prefixes_are_one_join(spark):
+    """Ten thousand prefixes make no larger plan than three, and the answer is that of testing each."""
+    paths = [["Temas/Rain/a.mp3"], ["Temas/Rain"], ["Temas/Rainy/b.mp3"], ["x.mp3", "Jams/2015/c.mp3"], ["Jams"], ["Jams/"], ["/abs/d.mp3"], [], None, [None, "Old//e.mp3"], ["Temas/Rain/"]]
+    recs = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "id long, source_path array<string>")
+    for wanted in (["Temas/Rain"], ["Temas/Rain/"], ["Jams", "x.mp3"], ["Jams/"], [""], ["/"], ["Old/"], ["Old"], ["Temas/Rain/a.mp3"], ["none"], []):
+        got = {r.id for r in W.under_paths(recs, spark.createDataFrame([(w,) for w in wanted], "prefix string")).collect()}
+        assert got == {i for i, ps in enumerate(paths) for p in ps or [] if p is not None and any(p == w or p.startswith(w.rstrip("/") + "/") for w in wanted)}, wanted
+    many = W.under_paths(recs, spark.range(10_000).selectExpr("concat('Temas/', id) AS prefix"))
+    few = W.under_paths(recs, spark.range(3).selectExpr("concat('Temas/', id) AS prefix"))
+    size = [len(df._jdf.queryExecution().optimizedPlan().toString()) for df in (many, few)]
+    assert abs(size[0] - size[1]) < 50 and many.count() == 0
+
+
 def test_equal_cluster_means_are_in_the_middle(spark):
     df = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None)], "cluster_id long, v double")
     assert [r.p for r in S.normalise_over(df, "v", "p").orderBy("cluster_id").collect()] == [50.0, 50.0, None]
