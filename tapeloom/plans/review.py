@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tapeloom.functions.labels import settled
 from tapeloom.operators import lookups as J
 from tapeloom.operators import summaries as S
-from tapeloom.plans.base import Archive, plan
+from tapeloom.plans.base import Archive, half_up, plan
 from tapeloom.sources.store import top_n
 
 
@@ -18,7 +19,7 @@ def _candidate_text(c: str):
 
 REVIEW_SQL = """SELECT r.id, r.title, r.origin, r.duration_seconds, s.date AS session_date, r.song_id, g.title AS song_title,
  r.audio_path, r.content_type, r.content_type_source, coalesce(c.candidates, '') AS candidates,
- round(m.mean_rms, 9) AS mean_rms, round(m.centroid, 6) AS mean_spectral_centroid
+ CAST(round(CAST(round(m.mean_rms, 12) AS DECIMAL(38, 12)), 9) AS DOUBLE) AS mean_rms, round(m.centroid, 6) AS mean_spectral_centroid
  FROM {rows} r LEFT JOIN sessions s ON s.id = r.session_id LEFT JOIN songs g ON g.id = r.song_id
  LEFT JOIN (SELECT recording_id, string_agg(concat(rank, ':', k.id, ':', k.song_id, ':', status, ':', g.title, ':', nearest_recording_id, ':',
    coalesce(n.audio_path, ''), ':', coalesce(s.date, '')), ',' ORDER BY rank, k.id) AS candidates
@@ -29,7 +30,7 @@ REVIEW_SQL = """SELECT r.id, r.title, r.origin, r.duration_seconds, s.date AS se
 
 
 def _shown(df):
-    return df.withColumn("candidates", _candidate_text("candidates")).withColumn("mean_rms", F.round("mean_rms", 9)).withColumn(
+    return df.withColumn("candidates", _candidate_text("candidates")).withColumn("mean_rms", settled(F.col("mean_rms"), 9)).withColumn(
         "mean_spectral_centroid", F.round("mean_spectral_centroid", 6))
 
 
@@ -172,10 +173,10 @@ ACOUSTICS_SQL = """SELECT cluster_id, avg(mean_rms) AS mean_rms, avg(mean_spectr
  FROM clusters WHERE cluster_id <> -1 GROUP BY 1"""
 
 
-@plan("G4_cluster_acoustics", f"SELECT cluster_id, round(mean_rms, 9) AS mean_rms, round(mean_centroid, 6) AS mean_centroid FROM ({ACOUSTICS_SQL}) t")
+@plan("G4_cluster_acoustics", f"SELECT cluster_id, {half_up('mean_rms', 9)} AS mean_rms, round(mean_centroid, 6) AS mean_centroid FROM ({ACOUSTICS_SQL}) t")
 def g4(a: Archive):
     return S.cluster_acoustics(a.clusters).select(
-        "cluster_id", F.round("mean_rms", 9).alias("mean_rms"), F.round("mean_centroid", 6).alias("mean_centroid"))
+        "cluster_id", settled(F.col("mean_rms"), 9).alias("mean_rms"), F.round("mean_centroid", 6).alias("mean_centroid"))
 
 
 @plan("G5_normalised_levels", f"""SELECT cluster_id, round((mean_rms - min(mean_rms) OVER ()) / (max(mean_rms) OVER () - min(mean_rms) OVER ()) * 100, 6)
@@ -223,11 +224,11 @@ def g13(a: Archive):
     return S.visible_count(a.clusters, ["jam", "cover"])
 
 
-@plan("G14_recording_levels", """SELECT recording_id, round(avg(mean_rms), 9) AS mean_rms, round(var_pop(mean_rms), 9) AS rms_variance,
+@plan("G14_recording_levels", f"""SELECT recording_id, {half_up('avg(mean_rms)', 9)} AS mean_rms, {half_up('var_pop(mean_rms)', 9)} AS rms_variance,
  round(CASE WHEN count(mean_rms) > 0 THEN avg(mean_spectral_centroid) END, 6) AS mean_centroid FROM segments GROUP BY 1""")
 def g14(a: Archive):
     return S.recording_levels(a.segments).select(
-        "recording_id", F.round("mean_rms", 9).alias("mean_rms"), F.round("rms_variance", 9).alias("rms_variance"),
+        "recording_id", settled(F.col("mean_rms"), 9).alias("mean_rms"), settled(F.col("rms_variance"), 9).alias("rms_variance"),
         F.round("mean_centroid", 6).alias("mean_centroid"))
 
 
