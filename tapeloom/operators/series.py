@@ -37,15 +37,24 @@ def _grid(df: DataFrame, key: str, bins: Column) -> DataFrame:
     )
 
 
+def _binned(frames: DataFrame, key: str, t: str, values: dict[str, Column], lengths: DataFrame, width: float) -> DataFrame:
+    """Means per key and bin, frames past the end in the last bin.
+
+    Frames are summed up per bin before the join by key, so that a key with very many frames is joined as its bins.
+    """
+    sums = frames.groupBy(key, F.floor(F.col(t) / width).cast("long").alias("_bin")).agg(
+        *[f(v).alias(f"{kind}{name}") for name, v in values.items() for kind, f in (("_s_", F.sum), ("_c_", F.count))])
+    last = F.greatest(F.least(F.col("_bin"), F.col("n") - 1), F.lit(0).cast("long"))
+    return sums.join(lengths.select(key, "n"), key).groupBy(key, last.alias("second")).agg(
+        *[F.try_divide(F.sum(f"_s_{name}"), F.sum(f"_c_{name}")).alias(name) for name in values])
+
+
 def bin_frames(frames: DataFrame, key: str, t: str, value: str, lengths: DataFrame, width: float = 1.0) -> DataFrame:
     """A1: mean per bin of ``width``; bins without frames are 0.0.
 
     ``lengths`` has one row per key with the bin count ``n``; frames past the end fall in the last bin.
     """
-    rows = frames.join(lengths.select(key, "n"), key).withColumn(
-        "second", F.greatest(F.least(F.floor(F.col(t) / width).cast("long"), F.col("n") - 1), F.lit(0).cast("long"))
-    )
-    means = rows.groupBy(key, "second").agg(F.avg(value).alias("value"))
+    means = _binned(frames, key, t, {"value": F.col(value)}, lengths, width)
     return (
         _grid(lengths, key, F.col("n")).join(means, [key, "second"], "left")
         .select(key, "second", F.coalesce("value", F.lit(0.0)).alias("value"))
@@ -56,12 +65,8 @@ def bin_vectors(
     frames: DataFrame, key: str, t: str, vector: str, dims: int, lengths: DataFrame, width: float = 1.0
 ) -> DataFrame:
     """A2: same for vectors of ``dims`` numbers, one average per dimension in a single aggregate."""
-    rows = frames.join(lengths.select(key, "n"), key).withColumn(
-        "second", F.greatest(F.least(F.floor(F.col(t) / width).cast("long"), F.col("n") - 1), F.lit(0).cast("long"))
-    )
-    means = rows.groupBy(key, "second").agg(
-        *[F.avg(F.get(vector, i).cast("double")).alias(f"_d{i}") for i in range(dims)]
-    )
+    numbers = {f"_d{i}": F.get(vector, i).cast("double") for i in range(dims)}
+    means = _binned(frames, key, t, numbers, lengths, width)
     cells = F.array(*[F.coalesce(f"_d{i}", F.lit(0.0)) for i in range(dims)])
     return _grid(lengths, key, F.col("n")).join(means, [key, "second"], "left").select(
         key, "second", cells.alias("vector")

@@ -8,7 +8,6 @@ from tapeloom.functions import labels as L
 from tapeloom.functions import text as T
 from tapeloom.operators import lookups as J
 from tapeloom.operators import series as A
-from tapeloom.operators import summaries as S
 from tapeloom.operators import workflow as W
 from tapeloom.plans.base import Archive, plan
 from tapeloom.sources import inventory as I
